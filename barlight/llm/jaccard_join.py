@@ -15,7 +15,10 @@ Three refinements keep the join exact and its buckets small:
   one member. Members that the star leaves in another component go through an
   exact prefix-filter join among the sets of such buckets.
 
-Every candidate pair is verified on the full sets. Equal sets are one node.
+A parity sketch of each set bounds the size of a difference from below, so
+most false candidates go without their texts; the rest are verified on the
+full sets, whose documents a filter of bounded size picks out in the scan.
+Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -41,6 +44,9 @@ FREQUENT_SETS = 8
 #: Features counted together, and bytes of text hashed together.
 WINDOW_FEATURES = 1 << 22
 SLICE_BYTES = 1 << 22
+#: Words of 64 bits in a set's parity sketch, and bits of the filter that picks out documents by id.
+SKETCH = 16
+FILTER_BITS = 1 << 23
 #: Members verified against one copy of their star's centre.
 STAR_SHARE = 512
 
@@ -67,6 +73,49 @@ def set_keys(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
+def parity(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sketch of each set, n x SKETCH: bit i is the parity of its features that fall on i.
+
+    A feature flips one bit, so two sketches differ in no more bits than their sets in features.
+    """
+    n, bits = len(offsets) - 1, 64 * SKETCH
+    out = np.zeros((n, SKETCH), dtype=np.int64)
+    for low in range(0, n, 1024):
+        high = min(n, low + 1024)
+        own = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+        bit = (keys[offsets[low] : offsets[high]] & np.uint64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(own * bits + bit, minlength=(high - low) * bits) & 1).astype(bool)
+        out[low:high] = np.packbits(odd.reshape(high - low, bits), axis=1, bitorder="little").view(np.int64)
+    return out
+
+
+_WORDS = [f"w{i}" for i in range(SKETCH)]
+
+
+def _sketch_allows(l: str, r: str, num: int, den: int) -> str:
+    """SQL: sizes and sketches of l and r leave a similarity of num / den possible."""
+    apart = " + ".join(f"bit_count({l}.{w} ^ {r}.{w})" for w in _WORDS)
+    return f"least({l}.n, {r}.n) * {den} >= greatest({l}.n, {r}.n) * {num} and ({apart}) * {den + num} <= ({l}.n + {r}.n) * {den - num}"
+
+
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs(id, text) whose id may be in ids; FILTER_BITS bits are sent to the executors, whatever the size of ids."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select((bit / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 32 as int))").alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    filled = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    filled[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches):
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            keep = (sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            yield batch.filter(pa.array(keep.astype(bool))).select([1, 2])
+
+    return docs.select(bit.cast("long").alias("at"), "id", "text").mapInArrow(run, docs.select("id", "text").schema)
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -134,6 +183,8 @@ def signatures(bands: Bands, keys: np.ndarray, offsets: np.ndarray, common: np.n
 def _digest(text: str, width: int, buckets: int):
     """Rows (id, n, k1, k2) of the documents, and rows (bucket, blob) of locally repeated shingles with their counts."""
 
+    names = ["id", "n", "k1", "k2", *_WORDS, "bucket", "blob"]
+
     def run(batches):
         held, count, seen = [], 0, []
 
@@ -148,15 +199,15 @@ def _digest(text: str, width: int, buckets: int):
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
             rows = [i for i in range(buckets) if edge[i] < edge[i + 1]]
             blobs = [feature[edge[i] : edge[i + 1]].tobytes() + times[edge[i] : edge[i + 1]].astype(np.uint32).tobytes() for i in rows]
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], ["id", "n", "k1", "k2", "bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64())] * (4 + SKETCH) + [pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names)
 
         for whole in batches:
             for batch in slices(whole, text):
                 keys, offsets = shingle_sets(*hashed_words(batch.column(text)), width)
                 k1, k2 = set_keys(keys, offsets)
                 n = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), as_long(k1), as_long(k2), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["id", "n", "k1", "k2", "bucket", "blob"])
+                words = [pa.array(w) for w in np.ascontiguousarray(parity(keys, offsets).T)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), as_long(k1), as_long(k2), *words, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
                 _, first = np.unique(k1, return_index=True)
                 fresh = np.zeros(len(n), dtype=bool)
                 fresh[first] = True
@@ -276,8 +327,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_SHARE)).alias("shares"))
     spread = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), F.col("b").alias("id"), F.lit(False).alias("centre"))
-    spread = spread.union(spread.select("a", "share").distinct().select("a", "share", F.col("a").alias("id"), F.lit(True)))
-    rows = spread.join(docs, "id").select("id", "text", "a", "share", "centre")
+    spread = materialise(spread.union(spread.select("a", "share").distinct().select("a", "share", F.col("a").alias("id"), F.lit(True))), "spread")
+    picked = _picked(docs, spread.select("id"))
+    rows = spread.join(picked, "id").select("id", "text", "a", "share", "centre")
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "a", "share").sortWithinPartitions("a", "share", F.desc("centre"))
 
     def run(batches):
@@ -300,25 +352,25 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
 
 def _residual(hot: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different labels among hot(id, label), by a prefix filter that is exact for all of them."""
+    """Candidate pairs of different labels among hot(id, label, n and sketch), by a prefix filter that is exact for all of them."""
 
     def explode(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 keys, offsets = shingle_sets(*hashed_words(batch.column("text")), width)
                 n = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("id")), n)), pa.array(np.repeat(np.asarray(batch.column("label")), n)), pa.array(np.repeat(n, n)), as_long(keys)], ["id", "label", "n", "feature"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("id")), n)), pa.array(np.repeat(n, n)), as_long(keys)], ["id", "n", "feature"])
 
-    rows = materialise(hot.join(docs, "id").select("id", "label", "text").mapInArrow(explode, "id long, label long, n long, feature long"), "features")
+    rows = materialise(_picked(docs, hot.select("id")).join(hot.select("id"), "id", "left_semi").mapInArrow(explode, "id long, n long, feature long"), "features")
     often = rows.groupBy("feature").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "feature")
     each = Window.partitionBy("id")
     # Features that no other set has come first in the order and are no candidates.
     ranked = shared.withColumn("rank", F.row_number().over(each.orderBy("df", "feature"))).withColumn("single", F.col("n") - F.count("*").over(each))
-    prefix = ranked.where(F.expr(f"rank + single <= n - ceil(n * {num} / {den}) + 1")).select("feature", "id", "label", "n")
-    prefix = materialise(prefix, "prefix")
+    prefix = ranked.where(F.expr(f"rank + single <= n - ceil(n * {num} / {den}) + 1")).select("feature", "id")
+    prefix = materialise(prefix.join(hot, "id"), "prefix")
     left, right = prefix.alias("l"), prefix.alias("r")
-    joined = left.join(right, F.expr(f"l.feature = r.feature and l.id < r.id and l.label <> r.label and least(l.n, r.n) * {den} >= greatest(l.n, r.n) * {num}"))
+    joined = left.join(right, F.expr(f"l.feature = r.feature and l.id < r.id and l.label <> r.label and {_sketch_allows('l', 'r', num, den)}"))
     return joined.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
@@ -338,22 +390,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = 1 << max(4, (shuffle_partitions(spark) - 1).bit_length())
     bands = Bands(num, den)
-    digests = materialise(docs.mapInArrow(_digest("text", width, buckets), "id long, n long, k1 long, k2 long, bucket int, blob binary"), "digests")
-    members = digests.where("bucket is null").select("id", "n", "k1", "k2")
-    nodes = materialise(members.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("class"), F.max("n").alias("n")), "classes")
+    digests = materialise(docs.mapInArrow(_digest("text", width, buckets), f"id long, n long, k1 long, k2 long, {', '.join(f'{w} long' for w in _WORDS)}, bucket int, blob binary"), "digests")
+    members = digests.where("bucket is null").select("id", "n", "k1", "k2", *_WORDS)
+    nodes = materialise(members.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("class"), F.max("n").alias("n"), *(F.min(w).alias(w) for w in _WORDS)), "classes")
     common = spark.sparkContext.broadcast(_frequent(digests))
 
     known = docs.where("id is not null")
     signed = known.mapInArrow(_sign("text", width, bands, buckets, common), "bucket int, blob binary")
     found = signed.groupBy("bucket").applyInPandas(_pairs, "a long, b long, star boolean")
     found = found.groupBy("a", "b").agg(F.max("star").alias("star"))
-    of_a = nodes.select(F.col("k1").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"))
-    of_b = nodes.select(F.col("k1").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"))
-    found = materialise(found.join(of_a, "a").join(of_b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "star", "na", "nb"), "candidates")
+    sides = [nodes.select(F.col("k1").alias(x), F.col("class").alias(f"c{x}"), F.struct("n", *_WORDS).alias(f"s{x}")) for x in "ab"]
+    found = found.join(sides[0], "a").join(sides[1], "b").where("ca <> cb")
+    found = found.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "star", F.expr(_sketch_allows("sa", "sb", num, den)).alias("able"))
+    found = materialise(found.where("star or able"), "candidates")
     release(spark)
 
     link = f"shared * {den} >= (na + nb - shared) * {num}"
-    able = found.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b")
+    able = found.where("able").select("a", "b")
     links = materialise(_verify(able, known, width).where(link).select("a", "b"), "links")
     release(spark)
     labels = connected_components(links)
@@ -363,7 +416,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = materialise(stars, "stars")
     open_ = stars.where("la <> lb").select("a").distinct()
     torn = stars.join(open_, "a", "left_semi")
-    hot = materialise(torn.select(F.col("a").alias("id"), F.col("la").alias("label")).union(torn.select("b", "lb")).distinct(), "hot")
+    hot = materialise(torn.select(F.col("a").alias("id"), F.col("la").alias("label")).union(torn.select("b", "lb")).distinct().join(nodes.select(F.col("class").alias("id"), "n", *_WORDS), "id"), "hot")
     if not hot.isEmpty():
         more = materialise(_residual(hot, known, width, num, den), "residual")
         again = materialise(_verify(more, known, width).where(link).select("a", "b"), "links")
@@ -372,7 +425,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     named = nodes.join(labels, nodes["class"] == labels["node"], "left").select("k1", "k2", "class", F.coalesce("label", "class").alias("component"))
     has = F.col("n") > 0
-    return members.join(named, ["k1", "k2"], "left").select(
+    return members.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(has & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
