@@ -23,25 +23,45 @@ END = 3
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, at, line, h1, h2) of every line of min_words words or more; null ids and texts have none."""
+    """(id, at, line, n, h1, h2) of every line of min_words words or more; null ids and texts have none."""
     lines = docs.where("id is not null").select("id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     lines = lines.select("id", "at", F.trim("raw").alias("line"))
-    lines = lines.where(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1)
-    return lines.select("id", "at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    lines = lines.select("id", "at", "line", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n")).where(F.col("n") >= min_words)
+    return lines.select("id", "at", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def _ends() -> str:
-    """SQL: hashed end keys of `line`; whole deletion variants where the ends would overlap."""
+    """SQL: hashed end keys of `line`; whole deletion variants where the ends would overlap.
+
+    A key holds the number of words that both lines have once the differing
+    word is out. A line that may be the shorter one of a pair also gives the
+    key that its longer partner makes by leaving a word out of an end.
+    """
     without = lambda a: f"transform(sequence(0, size({a}) - 1), i -> concat_ws(' ', filter({a}, (w, j) -> j <> i)))"
-    head, tail = f"split(substring_index(line, ' ', {END}), ' ')", f"split(substring_index(line, ' ', -{END}), ' ')"
     joined_head, joined_tail = f"substring_index(line, ' ', {END})", f"substring_index(line, ' ', -{END})"
-    long_ = f"""concat(array(xxhash64(0, {joined_head}, {joined_tail})),
-        transform({without(head)}, x -> xxhash64(1, x, {joined_tail})),
-        transform({without(tail)}, x -> xxhash64(2, {joined_head}, x)))"""
-    words = "split(line, ' ')"
-    short = f"concat(array(xxhash64(3, line)), transform({without(words)}, x -> xxhash64(3, x)))"
-    gaps = "length(line) - length(replace(line, ' ', ''))"
-    return f"array_distinct(case when {gaps} >= {2 * END} then {long_} when {gaps} = {2 * END - 1} then concat({short}, {long_}) else {short} end)"
+    head, tail = f"split({joined_head}, ' ')", f"split({joined_tail}, ' ')"
+    long_ = f"""concat(array(xxhash64(0, n, {joined_head}, {joined_tail}), xxhash64(0, n - 1, {joined_head}, {joined_tail}),
+            xxhash64(1, n, substring_index({joined_head}, ' ', {END - 1}), {joined_tail}), xxhash64(2, n, {joined_head}, substring_index({joined_tail}, ' ', -{END - 1}))),
+        transform({without(head)}, x -> xxhash64(1, n - 1, x, {joined_tail})),
+        transform({without(tail)}, x -> xxhash64(2, n - 1, {joined_head}, x)))"""
+    short = f"concat(array(xxhash64(3, line)), transform({without("split(line, ' ')")}, x -> xxhash64(3, x)))"
+    return f"array_distinct(case when n > {2 * END} then {long_} when n = {2 * END} then concat({short}, {long_}) else {short} end)"
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """(h1, h2, first, gone, n, key) of each line of texts: gone 0 for the whole line, else the number of the word left out.
+
+    A key is the exclusive or of hashes of (word, place), so that leaving one
+    word out needs those before it at their places (a), those after it one
+    place earlier (b), and of the prefixes only a ^ b, summed by chunks.
+    """
+    xor = lambda array: f"aggregate({array}, 0L, (x, y) -> x ^ y)"
+    cut = texts.select("h1", "h2", "first", F.split("line", " ").alias("words"))
+    cut = cut.select("h1", "h2", "first", F.expr("transform(words, (w, j) -> xxhash64(w, j - 1))").alias("b"), F.expr("transform(words, (w, j) -> xxhash64(w, j) ^ xxhash64(w, j - 1))").alias("c"))
+    cut = cut.select("h1", "h2", "first", "b", "c", F.expr(xor("b")).alias("all_b"), F.expr(f"transform(sequence(0, (size(c) - 1) div 64), k -> {xor('slice(c, k * 64 + 1, 64)')})").alias("chunks"))
+    before = f"{xor('slice(chunks, 1, i div 64)')} ^ {xor('slice(c, (i div 64) * 64 + 1, i % 64)')}"
+    each = cut.select("h1", "h2", "first", F.size("b").alias("words"), F.posexplode(F.expr(f"concat(array(all_b ^ {xor('chunks')}), transform(b, (x, i) -> all_b ^ x ^ {before}))")).alias("gone", "key"))
+    return each.select("h1", "h2", "first", "gone", F.when(F.col("gone") == 0, F.col("words")).otherwise(F.col("words") - 1).alias("n"), "key")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
@@ -70,13 +90,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits = bit_filter(near, "h1")
     texts = lines.where(may_contain(bits.scalar(), F.col("h1"))).join(near, "h1", "left_semi").select("h1", "h2", "line").distinct()
     texts = materialise(texts.join(firsts, ["h1", "h2"]), "texts")
-    words = F.split("line", " ")
-    variants = texts.select("h1", "h2", "first", F.size(words).alias("n"), F.posexplode(F.expr("""concat(array(xxhash64(line)), transform(sequence(0, size(split(line, ' ')) - 1),
-        i -> xxhash64(concat_ws(' ', slice(split(line, ' '), 1, i), slice(split(line, ' '), i + 2, size(split(line, ' ')))))))""")).alias("gone", "key"))
-    # gone 0: the whole line; otherwise the number of the word left out.
-    variants = materialise(variants.select("h1", "h2", "first", "gone", F.when(F.col("gone") == 0, F.col("n")).otherwise(F.col("n") - 1).alias("n"), "key"), "variants")
-    groups = variants.groupBy("n", "key").agg(F.count("*").alias("many"), F.min(F.when(F.col("gone") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("gone") > 0, F.col("first"))).alias("cut")).where("many > 1")
-    replaced = variants.where("gone > 0").groupBy("n", "key", "gone").agg(F.count("*").alias("many"), F.min("first").alias("least")).where("many > 1").drop("many")
+    variants = materialise(_variants(texts), "variants")
+    shared = variants.groupBy("n", "key").agg(F.count("*").alias("many")).where("many > 1").drop("many")
+    variants = materialise(variants.join(shared, ["n", "key"]), "shared")
+    groups = variants.groupBy("n", "key").agg(F.min(F.when(F.col("gone") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("gone") > 0, F.col("first"))).alias("cut"))
+    replaced = variants.where("gone > 0").groupBy("n", "key", "gone").agg(F.min("first").alias("least"))
     by_length = variants.join(groups, ["n", "key"]).select("h1", "h2", "first", F.when(F.col("gone") == 0, F.col("cut")).otherwise(F.col("whole")).alias("by"))
     by_word = variants.join(replaced, ["n", "key", "gone"]).select("h1", "h2", "first", F.col("least").alias("by"))
     best = by_length.union(by_word).where("by is not null and by < first").groupBy("h1", "h2").agg(F.min("by").alias("by"), F.max("first").alias("first"))
