@@ -31,20 +31,18 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _ends() -> str:
-    """SQL: hashed end keys of `line`; whole deletion variants where the ends would overlap.
+    """SQL: hashed end keys of `line` from its first and last END words; whole deletion variants where the ends would overlap.
 
     A key holds the number of words that both lines have once the differing
     word is out. A line that may be the shorter one of a pair also gives the
     key that its longer partner makes by leaving a word out of an end.
     """
-    without = lambda a: f"transform(sequence(0, size({a}) - 1), i -> concat_ws(' ', filter({a}, (w, j) -> j <> i)))"
-    joined_head, joined_tail = f"substring_index(line, ' ', {END})", f"substring_index(line, ' ', -{END})"
-    head, tail = f"split({joined_head}, ' ')", f"split({joined_tail}, ' ')"
-    long_ = f"""concat(array(xxhash64(0, n, {joined_head}, {joined_tail}), xxhash64(0, n - 1, {joined_head}, {joined_tail}),
-            xxhash64(1, n, substring_index({joined_head}, ' ', {END - 1}), {joined_tail}), xxhash64(2, n, {joined_head}, substring_index({joined_tail}, ' ', -{END - 1}))),
-        transform({without(head)}, x -> xxhash64(1, n - 1, x, {joined_tail})),
-        transform({without(tail)}, x -> xxhash64(2, n - 1, {joined_head}, x)))"""
-    short = f"concat(array(xxhash64(3, line)), transform({without("split(line, ' ')")}, x -> xxhash64(3, x)))"
+    long_ = """array(xxhash64(0, n, head, tail), xxhash64(0, n - 1, head, tail),
+        xxhash64(1, n, substring_index(head, ' ', 2), tail), xxhash64(2, n, head, substring_index(tail, ' ', -2)),
+        xxhash64(1, n - 1, substring_index(head, ' ', -2), tail), xxhash64(1, n - 1, concat(substring_index(head, ' ', 1), ' ', substring_index(head, ' ', -1)), tail), xxhash64(1, n - 1, substring_index(head, ' ', 2), tail),
+        xxhash64(2, n - 1, head, substring_index(tail, ' ', -2)), xxhash64(2, n - 1, head, concat(substring_index(tail, ' ', 1), ' ', substring_index(tail, ' ', -1))), xxhash64(2, n - 1, head, substring_index(tail, ' ', 2)))"""
+    words = "split(line, ' ')"
+    short = f"concat(array(xxhash64(3, line)), transform(sequence(0, n - 1), i -> xxhash64(3, concat_ws(' ', filter({words}, (w, j) -> j <> i)))))"
     return f"array_distinct(case when n > {2 * END} then {long_} when n = {2 * END} then concat({short}, {long_}) else {short} end)"
 
 
@@ -75,7 +73,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lines = _lines(docs, min_words)
-    keyed = materialise(lines.select("id", "at", "h1", "h2", F.expr(_ends()).alias("ends")), "lines")
+    ended = lines.select("*", F.substring_index("line", " ", END).alias("head"), F.substring_index("line", " ", -END).alias("tail"))
+    keyed = materialise(ended.select("id", "at", "h1", "h2", F.expr(_ends()).alias("ends")), "lines")
     firsts = materialise(keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first")), "firsts")
     release(docs.sparkSession)
 
