@@ -61,7 +61,7 @@ def test_ticks(spark):
         ticks_to_ohlcv(ticks, 0)
     with pytest.raises(ValueError):
         ticks_to_ohlcv(ticks, 5, "none")
-    s = ticks.select(F.col("step").alias("date"), sma(F.col("price"), 3, BarOrder("date")).alias("m")).orderBy("date").take(4)
+    s = ticks.withColumnRenamed("step", "date").select("date", sma(F.col("price"), 3, BarOrder("date")).alias("m")).orderBy("date").take(4)
     assert [r.m for r in s] == [None, None, 1.0, 2.0]
 
 
