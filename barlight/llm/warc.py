@@ -28,8 +28,9 @@ _DATE = "2024-01-01T00:00:00Z"
 RAW = "record_id string, type string, page_id long, uri string, digest string, refers_to string, origin string, segment int, total long, block binary"
 
 
-def record_id(page: int | None, row: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page {page}' if page is not None else f'row {row} {uuid.uuid4()}')}>"
+def record_id(page: int | None, digest: str) -> str:
+    """The same for repeated rows of a page, so that their segments are the same too."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page} {digest}') if page is not None else uuid.uuid4()}>"
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -65,14 +66,14 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def _records(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, row: int) -> Iterator[bytes]:
+def _records(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> Iterator[bytes]:
     kind = "revisit" if refers is not None else "response"
-    name = record_id(page, row)
+    name = record_id(page, digest)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = http + b"\r\n" if refers is not None else http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     fields: list[tuple[str, object]] = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", _DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response"), ("Page-ID", page)]
     if refers is not None:
-        fields += [("WARC-Refers-To", record_id(refers)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", record_id(refers, digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     parts = [block[i : i + SEGMENT] for i in range(0, len(block), SEGMENT)]
     if len(parts) == 1:
         yield _record(fields, block)
@@ -98,12 +99,10 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, id_col: str = "pag
     rows = rows.join(again, "digest", "left").select("page", "url", "html", "digest", F.when(F.col("first") < F.col("page"), F.col("first")).alias("refers"))
 
     def run(batches):
-        row = 0
         for batch in batches:
             held, size = [], 0
             for page, url, text, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row += 1
-                held += _records(page, url, text.encode(), digest, refers, row)
+                held += _records(page, url, text.encode(), digest, refers)
                 size += len(text)
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
@@ -168,13 +167,14 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def payloads(records: DataFrame) -> DataFrame:
     """(record_id, type, page_id, uri, digest, refers_to, payload) of whole records: segments joined, framing decoded.
 
+    Equal records that occur twice give two rows.
     A record whose segments are missing, or do not add up to the total length
     that the last one states, raises an error.
     """
     whole = records.where("segment is null")
     parts = records.where("segment is not null").withColumn("name", F.coalesce("origin", "record_id"))
     first = parts.where("origin is null").select(*whole.columns)
-    joined = parts.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("sum"))
+    joined = parts.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("sum"))
     right = F.expr("size(parts) = element_at(parts, -1).segment and length(data) = sum")
     joined = joined.withColumn("data", F.expr("aggregate(parts, cast('' as binary), (x, p) -> x || p.block)")).select("name", F.when(right, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("segments of "), F.col("name"), F.lit(" are missing or have another length")))).alias("data"))
     first = first.join(joined, first.record_id == joined.name).select(*[F.col("data").alias("block") if c == "block" else F.col(c) for c in whole.columns])
