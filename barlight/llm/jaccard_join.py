@@ -54,10 +54,10 @@ _SALT_BAND = np.uint64(0xD6E8FEB86659FD93)
 _SALT_PART = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about `most` bytes of text, one row at least."""
     size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)) + 64
-    cut = (np.cumsum(size) - size) // SLICE_BYTES
+    cut = (np.cumsum(size) - size) // most
     edges = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1], [True]])) if len(cut) else np.zeros(1, int)
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         yield batch.slice(low, high - low)

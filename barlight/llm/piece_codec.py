@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Words kept between batches by each worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Words put through the table at once.
 TABLE_WORDS = 1 << 16
 _NONE = np.iinfo(np.int64).max
@@ -281,7 +281,7 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
             _CODECS[key] = PieceCodec(data.value)
         codec = _CODECS[key]
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 texts = [codec.chunks(t or "") for t in batch.column("text").to_pylist()]
                 codec.learn({c for t in texts for c in t})
                 words = codec.words

@@ -16,7 +16,7 @@ _VALUE = _SEED.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes hashed at once; bounds the working memory of hash_words.
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
