@@ -142,6 +142,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         texts = texts.join(known, "digest", "left_anti")
     texts = texts.repartition(shuffle_partitions(spark), "digest")
     texts.mapInArrow(run, stored).write.mode("append").parquet(path)
-    counts = spark.read.schema(stored).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # One written row for each digest, so that the join has no aggregate above its shuffle and a digest that many rows share can be split.
+    counts = materialise(spark.read.schema(stored).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
