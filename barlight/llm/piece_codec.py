@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-#: Words kept between batches by each worker.
-CACHE_WORDS = 150_000
+#: Words kept between batches of a task.
+CACHE_WORDS = 400_000
 #: Words put through the table at once.
 TABLE_WORDS = 1 << 16
 _NONE = np.iinfo(np.int64).max
@@ -281,7 +281,7 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
             _CODECS[key] = PieceCodec(data.value)
         codec = _CODECS[key]
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text"):
                 texts = [codec.chunks(t or "") for t in batch.column("text").to_pylist()]
                 codec.learn({c for t in texts for c in t})
                 words = codec.words
@@ -301,6 +301,7 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
                 if ids:
                     columns, names = [*columns, pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())], [*names, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        codec.words = {}
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
