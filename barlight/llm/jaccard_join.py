@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .store import materialise, release, shuffle_partitions
-from .words import hashed_words, mix, shingle_sets
+from .words import give_back, hashed_words, mix, shingle_sets
 
 #: Largest bucket whose pairs are all emitted.
 SMALL = 8
@@ -61,6 +61,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     edges = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1], [True]])) if len(cut) else np.zeros(1, int)
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         yield batch.slice(low, high - low)
+        give_back()
 
 
 def set_keys(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
