@@ -183,9 +183,12 @@ def top_k_search(embeddings: DataFrame, k: int = 5, modulus: int = 50, scale: in
     Candidates are all rows but the query's own; ties go to the smaller id.
     Null vectors, empty ones, those with a null or non-finite component and
     rows with a null id take no part. Vectors of different lengths are not
-    compared. Repeated rows of an id count once.
+    compared. Repeated rows of an id count once; of different vectors of an id
+    the shortest is taken, then the one whose bytes are least.
     """
-    data = materialise(_quantised(embeddings, id_col, vec_col, scale), "vectors")
+    # Every cap and bound below counts rows, so an id must have one.
+    once = _quantised(embeddings, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x"))
+    data = materialise(once.select("id", "x.dim", "x.v"), "vectors")
     dims = [r.dim for r in data.select("dim").distinct().collect()]
     out = [_search(data.where(F.col("dim") == d), d, k, modulus) for d in dims]
     if not out:

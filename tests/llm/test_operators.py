@@ -126,6 +126,15 @@ def test_top_k(spark):
     assert top_k_search(df.where("false")).count() == 0 and top_k_search(df.where("vec_id = 50")).count() == 0
 
 
+def test_top_k_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(3)
+    table = [(i, [float(x) for x in rng.normal(0, 0.1, 6)]) for i in range(200)] + [(201, [0.9] * 6)]
+    x = {i: np.floor(256 * np.array(v)).astype(int) for i, v in table}
+    df = spark.createDataFrame(table + 6 * [table[-1]] + 3 * [table[50]], "vec_id long, embedding array<double>")
+    want = sorted((q, k + 1, i, s) for q in x if q % 50 == 0 for k, (s, i) in enumerate([(-t[0], t[1]) for t in sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:5]]))
+    assert sorted(map(tuple, top_k_search(df).collect())) == want
+
+
 def test_license_scan(spark, odd):
     filler = " ".join(f"f{i}" for i in range(30))
     notice = "Licensed under the Apache License, Version 2.0."
