@@ -12,8 +12,9 @@ Three refinements keep the join exact and its buckets small:
 * A part in which a set has no feature signs nothing, unless the set has so
   many empty parts that all agreeing parts could be empty.
 * Buckets of up to SMALL sets give all their pairs, larger ones a star around
-  one member. Members that the star leaves in another component go through an
-  exact prefix-filter join among the sets of such buckets.
+  one member. The sets of such buckets go through an exact prefix-filter join,
+  which finds all their pairs; where only components are asked for, just the
+  pairs between members that the star leaves in different components.
 
 A parity sketch of each set bounds the size of a difference from below, so
 most false candidates go without their texts; the rest are verified on the
@@ -49,6 +50,8 @@ SKETCH = 16
 FILTER_BITS = 1 << 23
 #: Members verified against one copy of their star's centre.
 STAR_SHARE = 512
+#: Sets of a block on average; pairs of a component's blocks are verified together.
+BLOCK_SETS = 256
 
 _SALT_BAND = np.uint64(0xD6E8FEB86659FD93)
 _SALT_PART = np.uint64(0x9E3779B97F4A7C15)
@@ -352,8 +355,37 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, shared long, na long, nb long").distinct()
 
 
+def _verify_blocks(pairs: DataFrame, labels: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """As _verify, for many pairs inside components: labels (node, label) cut these into blocks, and a text goes once to each pair of blocks."""
+    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).alias("blocks"))
+    place = labels.join(sizes, "label").select("node", "label", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    of = lambda x: place.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("block").alias(f"k{x}"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    # The pair of blocks in one order, so that both directions share it.
+    sides = [F.struct(F.coalesce(f"l{x}", x).alias("l"), F.coalesce(f"k{x}", F.lit(0)).alias("k")) for x in "ab"]
+    placed = materialise(placed.select("a", "b", F.xxhash64(F.least(*sides), F.greatest(*sides)).alias("cell")), "blocks")
+    needed = placed.select(F.col("cell").alias("to"), F.col("a").alias("id")).union(placed.select("cell", "b")).distinct()
+    texts = needed.join(_picked(docs, needed.select("id")), "id").select("to", "id", "text")
+
+    def run(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        given = given.drop_duplicates("id")
+        held = {}
+        batch = pa.RecordBatch.from_arrays([pa.array(given["id"], pa.int64()), pa.array(given["text"], pa.string())], ["id", "text"])
+        for part in slices(batch, "text"):
+            keys, offsets = shingle_sets(*hashed_words(part.column("text")), width)
+            held.update((i, keys[a:b].copy()) for i, a, b in zip(part.column("id").to_pylist(), offsets[:-1], offsets[1:], strict=True))
+        shared = []
+        for a, b in zip(asked["a"], asked["b"], strict=True):
+            x, y = held[a], held[b]
+            shared.append(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+        size = lambda x: [len(held[i]) for i in asked[x]]
+        return pd.DataFrame({"a": asked["a"], "b": asked["b"], "shared": shared, "na": size("a"), "nb": size("b")}).astype("int64")
+
+    return placed.groupBy("cell").cogroup(texts.groupBy("to")).applyInPandas(run, "a long, b long, shared long, na long, nb long")
+
+
 def _residual(hot: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different labels among hot(id, label, n and sketch), by a prefix filter that is exact for all of them."""
+    """Candidate pairs among hot(id, n and sketch), of different labels where it has any, by a prefix filter that is exact for all of them."""
 
     def explode(batches):
         for whole in batches:
@@ -371,16 +403,19 @@ def _residual(hot: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
     prefix = ranked.where(F.expr(f"rank + single <= n - ceil(n * {num} / {den}) + 1")).select("feature", "id")
     prefix = materialise(prefix.join(hot, "id"), "prefix")
     left, right = prefix.alias("l"), prefix.alias("r")
-    joined = left.join(right, F.expr(f"l.feature = r.feature and l.id < r.id and l.label <> r.label and {_sketch_allows('l', 'r', num, den)}"))
+    apart = "and l.label <> r.label" if "label" in hot.columns else ""
+    joined = left.join(right, F.expr(f"l.feature = r.feature and l.id < r.id {apart} and {_sketch_allows('l', 'r', num, den)}"))
     return joined.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """Components of the documents whose word-shingle sets have a Jaccard similarity of num / den or more.
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, links: bool = True) -> DataFrame:
+    """Links and components of the documents whose word-shingle sets have a Jaccard similarity of num / den or more.
 
-    Returns (doc_id, n_shingles, component_id, class_id), one row per input
-    row: set size, smallest id reachable by links, smallest id with an equal
-    set. A null text, an empty one and one without words have an empty set and
+    Returns (doc_id, n_shingles, component_id, class_id, n_links), one row per
+    input row: set size, smallest id reachable by links, smallest id with an
+    equal set, number of other sets that are similar (equal sets count as one).
+    With links=False n_links is left out, and pairs that the components do not
+    need are not verified. A null text, an empty one and one without words have an empty set and
     link with nothing. A row with a null id links with nothing and keeps null
     ids. An id names one text; repeated rows of it give repeated result rows.
     Other columns are ignored. An empty table gives an empty result.
@@ -408,27 +443,46 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     link = f"shared * {den} >= (na + nb - shared) * {num}"
     able = found.where("able").select("a", "b")
-    links = materialise(_verify(able, known, width).where(link).select("a", "b"), "links")
+    near = materialise(_verify(able, known, width).where(link).select("a", "b"), "links")
     release(spark)
-    labels = connected_components(links)
-
-    label_of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
-    stars = found.where("star").select("a", "b").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    stars = materialise(stars, "stars")
-    open_ = stars.where("la <> lb").select("a").distinct()
-    torn = stars.join(open_, "a", "left_semi")
-    hot = materialise(torn.select(F.col("a").alias("id"), F.col("la").alias("label")).union(torn.select("b", "lb")).distinct().join(nodes.select(F.col("class").alias("id"), "n", *_WORDS), "id"), "hot")
+    labels = connected_components(near)
+
+    stars = found.where("star").select("a", "b")
+    sketches = nodes.select(F.col("class").alias("id"), "n", *_WORDS)
+    if links:
+        hot = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct().join(sketches, "id")
+    else:
+        label_of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+        stars = stars.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+        stars = materialise(stars, "stars")
+        open_ = stars.where("la <> lb").select("a").distinct()
+        torn = stars.join(open_, "a", "left_semi")
+        hot = torn.select(F.col("a").alias("id"), F.col("la").alias("label")).union(torn.select("b", "lb")).distinct().join(sketches, "id")
+    hot = materialise(hot, "hot")
     if not hot.isEmpty():
-        more = materialise(_residual(hot, known, width, num, den), "residual")
-        again = materialise(_verify(more, known, width).where(link).select("a", "b"), "links")
+        more = _residual(hot, known, width, num, den)
+        if links:
+            more = more.join(able.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        more = materialise(more, "residual")
+        release(spark)
+        checked = _verify_blocks(more, labels, known, width) if links else _verify(more, known, width)
+        again = materialise(checked.where(link).select("a", "b"), "links")
         if not again.isEmpty():
-            labels = connected_components(links.union(again))
+            near = near.union(again)
+            labels = connected_components(near)
 
     named = nodes.join(labels, nodes["class"] == labels["node"], "left").select("k1", "k2", "class", F.coalesce("label", "class").alias("component"))
     has = F.col("n") > 0
+    counted = []
+    if links:
+        ends = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        degree = ends.select(F.col("a").alias("class")).union(ends.select("b")).groupBy("class").agg(F.count("*").alias("links"))
+        named = named.join(degree, "class", "left")
+        counted = [F.when(has & F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")]
     return members.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(has & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
         F.when(has & F.col("id").isNotNull(), F.col("class")).otherwise(F.col("id")).alias("class_id"),
+        *counted,
     )

@@ -23,7 +23,8 @@ def _tokenizer(name: str) -> str:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import ngram_jaccard_join
 
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+    # Its SQL has no n_links.
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op2_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:

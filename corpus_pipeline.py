@@ -36,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id."""
-    first = ngram_jaccard_join(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    first = ngram_jaccard_join(docs, links=False).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
     return _only(docs, first)
 
 

@@ -115,6 +115,27 @@ def test_many_near_copies_stay_whole(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(df).collect()} == components(made)
 
 
+def test_every_link_is_counted(spark):
+    """All links of a large group of different near copies, whose sets are in one component long before all pairs are seen."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(120)]
+    made = [(0, " ".join(base)), (1, " ".join(base)), (2, None), (3, "one two")]
+    for i in range(10, 50):
+        w = list(base)
+        for p in rng.choice(120, rng.integers(1, 5), replace=False):
+            w[p] = f"n{i}x{p}"
+        made.append((i, " ".join(w)))
+    sets = {}
+    for i, t in made:
+        w = words(t)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    similar = lambda a, b: a != b and a and b and 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(bool(similar(s, x)) for x in set(sets.values())) for i, s in sets.items()}
+    got = ngram_jaccard_join(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and sum(want.values()) > 400
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(made)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     table = [(i, [float(x) for x in rng.normal(0, 0.1, 6)]) for i in range(300)] + [(i, [0.5] * 6) for i in range(300, 320)]
