@@ -1,10 +1,12 @@
-"""Operator 3: license scans by winnowed fingerprints and banded alignment.
-
-Templates are fingerprinted by winnowing (the least hash of every WINDOW
-consecutive word k-grams) into an inverted index of bounded size. A document's
-winnowed fingerprints that meet the index name a template and a diagonal; the
-words around that diagonal are aligned with the template in a band, which gives
-the matched share of the template and the span of the match.
+"""Operator 3: license scans by word k-gram fingerprints and banded alignment.
+
+Every word k-gram of a template goes into an inverted index of bounded size,
+and every one of a document is looked up: winnowing would promise a hit only
+for a longer unbroken run than matches of the least coverage need to have. A
+template's k is the largest of which some k-gram outlasts as many changed or
+missing words as that coverage allows. A hit names a template and a diagonal;
+the words around that diagonal are aligned with the template in a band, which
+gives the matched share of the template and the span of the match.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .words import LOWER, hash_words, mix, separator_table, text_bytes, word_spans
 
-GRAM, WINDOW, BAND = 3, 3, 6
+GRAM, BAND = 3, 6
 _SEPARATORS = separator_table([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 #: Short notices of common public licenses.
@@ -37,22 +39,17 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return hash_words(data, starts, ends), rows, starts - offsets[:-1].repeat(np.diff(rows)), ends - offsets[:-1].repeat(np.diff(rows))
 
 
-def _fingerprints(words: np.ndarray) -> np.ndarray:
-    """Places of the winnowed k-grams of one sequence: of equal least hashes in a window the rightmost."""
-    if len(words) < GRAM:
-        return np.zeros(0, np.int64)
-    grams = _grams(words)
-    if len(grams) <= WINDOW:
-        return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))])
-    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    return np.unique(np.arange(len(view)) + WINDOW - 1 - np.argmin(view[:, ::-1], axis=1))
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(max(0, len(words) - size + 1), dtype=np.uint64)
+    for j in range(size):
+        out = mix(out + words[j : j + len(out)])
+    return out
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(words) - GRAM + 1, dtype=np.uint64)
-    for j in range(GRAM):
-        out = mix(out + words[j : len(words) - GRAM + 1 + j])
-    return out
+def _gram_size(words: int, least: float) -> int:
+    """Largest size up to GRAM of which one gram at least is whole when the template's unmatched words break all they can."""
+    lost = words - next((n for n in range(1, words + 1) if n >= least * words), words)
+    return next((k for k in range(min(GRAM, words), 1, -1) if words - k + 1 > k * lost), 1)
 
 
 def align(text: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -78,15 +75,21 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in
     lower case; end places are exclusive. A document gives as many rows as it
     has matches that do not overlap for one template, best first, so a null or
-    empty text gives none; so does one shorter than a k-gram. Repeated rows
-    give repeated matches, and null ids are kept.
+    empty text gives none. Repeated rows give repeated matches, and null ids
+    are kept. A match is found if changed, missing and inserted words together
+    are no more than the template words that the coverage lets go unmatched and
+    shift words by no more than BAND; with
+    more inserted words, if one of its k-grams is whole.
     """
     templates = TEMPLATES if templates is None else templates
     names = sorted(templates)
     sequences = [_words(pa.array([templates[n]]))[0] for n in names]
-    marks = [(int(_grams(s)[p]), t, int(p)) for t, s in enumerate(sequences) for p in (range(len(s) - GRAM + 1) if len(s) < GRAM + WINDOW else _fingerprints(s))]
-    marks.sort()
-    index = np.array([m[0] for m in marks], dtype=np.uint64), np.array([m[1] for m in marks], dtype=np.int64), np.array([m[2] for m in marks], dtype=np.int64)
+    sizes = [_gram_size(len(s), least) for s in sequences]
+    indexes = []
+    for size in sorted(set(sizes)):
+        marks = sorted((int(h), t, p) for t, s in enumerate(sequences) if sizes[t] == size for p, h in enumerate(_grams(s, size)))
+        if marks:
+            indexes.append((size, np.array([m[0] for m in marks], dtype=np.uint64), np.array([m[1] for m in marks], dtype=np.int64), np.array([m[2] for m in marks], dtype=np.int64)))
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
@@ -96,17 +99,21 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
             for batch in slices(whole, "text"):
                 words, rows, first, last = _words(batch.column("text"))
                 ids, out = batch.column("id").to_pylist(), []
-                grams = _grams(words) if len(words) >= GRAM else np.zeros(0, np.uint64)
-                # Only documents with any gram of the index are winnowed.
-                hits = np.flatnonzero(np.isin(grams, index[0])) if len(index[0]) else np.zeros(0, np.int64)
-                for r in np.unique(np.searchsorted(rows, hits, side="right") - 1):
+                # Places of the batch whose gram is in an index; grams across two documents are left out.
+                met = []
+                for size, hashes, template, place in indexes:
+                    grams = _grams(words, size)
+                    at = np.flatnonzero(np.isin(grams, hashes))
+                    row = np.searchsorted(rows, at, side="right") - 1
+                    inside = at + size <= rows[row + 1]
+                    at, row = at[inside], row[inside]
+                    low, high = np.searchsorted(hashes, grams[at]), np.searchsorted(hashes, grams[at], side="right")
+                    met += [(r, int(template[m]), int(p - rows[r] - place[m])) for r, p, a, b in zip(row.tolist(), at, low, high, strict=True) for m in range(a, b)]
+                seen_in: dict[int, set] = {}
+                for r, t, diagonal in met:
+                    seen_in.setdefault(r, set()).add((t, diagonal))
+                for r, seen in sorted(seen_in.items()):
                     mine = words[rows[r] : rows[r + 1]]
-                    places = _fingerprints(mine)
-                    if not len(places):
-                        continue
-                    own = _grams(mine)[places]
-                    low, high = np.searchsorted(index[0], own), np.searchsorted(index[0], own, side="right")
-                    seen = {(int(index[1][m]), int(p - index[2][m])) for p, a, b in zip(places, low, high, strict=True) for m in range(a, b)}
                     found = []
                     for t, diagonal in seen:
                         n, a, b = align(mine, sequences[t], diagonal)

@@ -166,6 +166,25 @@ def test_license_scan(spark, odd):
     assert license_scan(empty(odd)).count() == 0 and license_scan(odd).count() == 0
 
 
+def test_license_scan_finds_all_matches_of_the_coverage(spark):
+    """Every set of changed or missing words that leaves the coverage, wherever they are."""
+    from itertools import combinations
+
+    from barlight.llm.license_scan import TEMPLATES
+
+    made, want = [], set()
+    for name in ("Apache-2.0", "MIT", "CC-BY-NC-4.0", "MIT-text"):
+        w = words(TEMPLATES[name], r"[a-zA-Z0-9]+")
+        for gone in combinations(range(len(w)), len(w) // 5):
+            for put in (["zzz"], []):
+                text = ["x1", "x2", *[y for k, x in enumerate(w) for y in (put if k in gone else [x])], "x3"]
+                if len(made) < 1000:
+                    want.add((len(made), name))
+                    made.append((len(made), " ".join(text)))
+    found = {(r.doc_id, r.license) for r in license_scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert want <= found
+
+
 def test_piece_codec(spark, odd, rows):
     import sentencepiece
 
