@@ -40,8 +40,11 @@ def describe(node: Any) -> Any:
     return repr(node)
 
 
-def _plain(function: Any) -> str:
-    """Source of a function without comments, docstrings and layout, and of functions of its module that it calls."""
+def _plain(function: Any, above: frozenset = frozenset()) -> str:
+    """Source of a function without comments, docstrings and layout, and of functions of its module that it calls.
+
+    above holds the callers, whose source is not given again: functions may call each other.
+    """
     try:
         tree = ast.parse(textwrap.dedent(inspect.getsource(function)))
     except (OSError, TypeError, SyntaxError):
@@ -51,7 +54,8 @@ def _plain(function: Any) -> str:
             node.body = node.body[1:] or [ast.Pass()]
     called = sorted({n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)})
     scope = getattr(function, "__globals__", {})
-    local = [_plain(f) for c in called if inspect.isfunction(f := scope.get(c)) and f.__module__ == function.__module__ and f is not function]
+    above |= {function}
+    local = [_plain(f, above) for c in called if inspect.isfunction(f := scope.get(c)) and f.__module__ == function.__module__ and f not in above]
     return "\n".join([ast.unparse(tree), *local])
 
 

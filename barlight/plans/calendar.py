@@ -7,7 +7,7 @@ instant, and as the exchange's wall clock for bars without a zone.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, time, timedelta
 from functools import cached_property
@@ -19,6 +19,8 @@ from pyspark.sql.types import DateType, TimestampType
 
 Day = date | str
 ONE = timedelta(days=1)
+#: First and last year that a calendar's cache key covers.
+KEY_YEARS = (1970, 2069)
 
 
 def parse_date(x: Day) -> date:
@@ -70,6 +72,13 @@ def previous_friday(d: date) -> date:
     return d - timedelta(days=(d.weekday() - 4) % 7)
 
 
+def _yearly(of_year: Callable[[int], date | None], start: date, end: date, move: Callable[[date], date] | None = None) -> Iterator[date]:
+    """Dates of a function of the year from start to end, moved if need be; a move can cross into a neighbouring year."""
+    for year in range(start.year - 1, end.year + 2):
+        if (d := of_year(year)) and start <= (d := move(d) if move else d) <= end:
+            yield d
+
+
 @dataclass(frozen=True)
 class HolidayRule:
     """A fixed (month, day) or the n-th weekday of a month, in a range of years, moved by an observance."""
@@ -89,9 +98,7 @@ class HolidayRule:
         return date(year, self.month, self.day) if self.day else nth_weekday(year, self.month, self.weekday, self.week)
 
     def dates_in_range(self, start: date, end: date) -> list[date]:
-        # An observance can move a date into the range from a neighbouring year.
-        raw = [d for y in range(start.year - 1, end.year + 2) if (d := self.raw_date(y))]
-        return [d for d in map(self.observance or (lambda d: d), raw) if start <= d <= end]
+        return list(_yearly(self.raw_date, start, end, self.observance))
 
 
 @dataclass(frozen=True)
@@ -111,10 +118,8 @@ class EarlyClose:
     dates: tuple[date, ...] = ()
 
     def dates_in_range(self, start: date, end: date) -> list[date]:
-        found = list(self.dates) + (self.rule.dates_in_range(start, end) if self.rule else [])
-        if self.compute_fn:
-            found += [d for y in range(start.year, end.year + 1) if (d := self.compute_fn(y))]
-        return [d for d in found if start <= d <= end]
+        own = [d for d in self.dates if start <= d <= end]
+        return own + (self.rule.dates_in_range(start, end) if self.rule else []) + (list(_yearly(self.compute_fn, start, end)) if self.compute_fn else [])
 
 
 def holiday_eve(month: int, day: int) -> Callable[[int], date | None]:
@@ -163,9 +168,14 @@ class ExchangeCalendar:
 
     @cached_property
     def cache_key(self) -> str:
+        """Digest of the hours and of every closed and short day of KEY_YEARS: what functions give counts, not where they are."""
         from .artifact import text_digest
 
-        return text_digest([self.name, self.open_time, self.close_time, self.zone, self.rules, self.adhoc_closures, self.early_closes, sorted(self.exclusions), self.open_offset, self.break_start, self.break_end])
+        start, end = date(KEY_YEARS[0], 1, 1), date(KEY_YEARS[1], 12, 31)
+        early = sorted((d.isoformat(), str(e.close)) for e in self.early_closes for d in e.dates_in_range(start, end))
+        closed = sorted(d.isoformat() for d in self._closed(start, end))
+        hours = [str(t) for t in (self.open_time, self.close_time, self.break_start, self.break_end)]
+        return text_digest([self.name, self.zone, hours, self.open_offset, closed, early])
 
     def _closed(self, start: date, end: date) -> set[date]:
         found = {d for r in self.rules for d in r.dates_in_range(start, end)}
@@ -290,7 +300,9 @@ class ExchangeCalendar:
 
     def session_table(self, df: DataFrame, column: str) -> DataFrame:
         """Sessions around df's dates: (_session, _open, _close, _break_start, _break_end, _week_close)."""
-        low, high = df.agg(F.min(column), F.max(column)).first()
+        low, high, rows = df.agg(F.min(column), F.max(column), F.count("*")).first()
+        if low is None and rows:
+            raise ValueError(f"every value of {column} is null")
         low, high = (parse_date(x) if x is not None else date(1970, 1, 2) for x in (low, high))
         o, c, b, e = self._times(df, column)
         table = self.schedule_frame(df.sparkSession, low - 7 * ONE, high + 7 * ONE)
@@ -312,7 +324,7 @@ class ExchangeCalendar:
     def filter_market_hours(self, df: DataFrame, date_column: str = "date", end_column: str | None = None) -> DataFrame:
         """Bars within their own date's session: open <= t <= close less a minute, or up to an end time within the close.
 
-        A bar whose time or end is null goes. Bars that start in a break go.
+        A bar whose time or end is null goes; if all times are null, that is an error. Bars that start in a break go.
         Bars of whole days stay if the day is a session.
         """
         sessions = self.session_table(df, date_column)

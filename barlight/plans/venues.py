@@ -115,14 +115,16 @@ def _toronto() -> ExchangeCalendar:
     return ExchangeCalendar("XTSE", time(9, 30), time(16), "America/Toronto", rules, (_SEPTEMBER_11,), early, special)
 
 
-# Japan.
+# Japan. Fixed value: the day of September in the one year that the approximation does not give.
+_AUTUMN_DAY = {1996: 22}
+
+
 def _equinoxes(year: int) -> list[date]:
     """Vernal and autumnal equinox day by the usual approximation, 1990 to 2030."""
     if not 1990 <= year <= 2030:
         return []
     drift = 0.242194 * (year - 1980) - (year - 1980) // 4
-    # The calendar that results must agree with has the 22nd in 1996.
-    autumn = 22 if year == 1996 else int(23.2488 + drift)
+    autumn = _AUTUMN_DAY.get(year, int(23.2488 + drift))
     return [date(year, 3, int(20.8431 + drift)), date(year, 9, autumn)]
 
 
@@ -152,21 +154,44 @@ def _tokyo() -> ExchangeCalendar:
     return ExchangeCalendar("XTKS", time(9), time(15), "Asia/Tokyo", rules, (single,), (), special, moved_from, break_start=time(11, 30), break_end=time(12, 30))
 
 
-# Hong Kong. Fixed values, (month, day) by year from the first year on.
-_NEW_YEAR_FROM_1990 = "1-27 2-15 2-4 1-23 2-10 1-31 2-19 2-7 1-28 2-16 2-5 1-24 2-12 2-1 1-22 2-9 1-29 2-18 2-7 1-26 2-14 2-3 1-23 2-10 1-31 2-19 2-8 1-28 2-16 2-5 1-25 2-12 2-1 1-22 2-10 1-29 2-17 2-6 1-26 2-13 2-3"
-_BUDDHA_FROM_2007 = "5-24 5-12 5-2 5-21 5-10 4-28 5-17 5-6 5-25 5-14 5-3 5-22 5-12 4-30 5-19 5-8 5-26 5-15 5-5 5-24 5-13 5-2 5-20 5-9"
-_TUEN_NG_FROM_2007 = "6-19 6-8 5-28 6-16 6-6 6-23 6-12 6-2 6-20 6-9 5-30 6-18 6-7 6-25 6-14 6-3 6-22 6-10 5-31 6-19 6-9 5-28 6-16 6-5"
-_MID_AUTUMN_FROM_2007 = "9-26 9-15 10-3 9-23 9-13 10-1 9-20 9-9 9-28 9-16 10-5 9-25 9-14 10-2 9-22 9-12 9-30 9-18 10-7 9-26 9-16 10-4 9-23 9-13"
-_CHUNG_YEUNG_FROM_2007 = "10-19 10-7 10-26 10-16 10-5 10-23 10-13 10-2 10-21 10-9 10-28 10-17 10-7 10-26 10-14 10-4 10-23 10-11 10-29 10-18 10-8 10-26 10-16 10-5"
-
-
-def _by_year(text: str, first: int) -> dict[int, date]:
-    return {first + i: date(first + i, *map(int, x.split("-"))) for i, x in enumerate(text.split())}
+# Hong Kong. Fixed values: (month, day) of each festival by year.
+_LUNAR_NEW_YEAR = {  # first day of the lunar year
+    1990: (1, 27), 1991: (2, 15), 1992: (2, 4), 1993: (1, 23), 1994: (2, 10), 1995: (1, 31), 1996: (2, 19), 1997: (2, 7),
+    1998: (1, 28), 1999: (2, 16), 2000: (2, 5), 2001: (1, 24), 2002: (2, 12), 2003: (2, 1), 2004: (1, 22), 2005: (2, 9),
+    2006: (1, 29), 2007: (2, 18), 2008: (2, 7), 2009: (1, 26), 2010: (2, 14), 2011: (2, 3), 2012: (1, 23), 2013: (2, 10),
+    2014: (1, 31), 2015: (2, 19), 2016: (2, 8), 2017: (1, 28), 2018: (2, 16), 2019: (2, 5), 2020: (1, 25), 2021: (2, 12),
+    2022: (2, 1), 2023: (1, 22), 2024: (2, 10), 2025: (1, 29), 2026: (2, 17), 2027: (2, 6), 2028: (1, 26), 2029: (2, 13),
+    2030: (2, 3),
+}
+_BUDDHA = {  # Buddha's Birthday
+    2007: (5, 24), 2008: (5, 12), 2009: (5, 2), 2010: (5, 21), 2011: (5, 10), 2012: (4, 28), 2013: (5, 17), 2014: (5, 6),
+    2015: (5, 25), 2016: (5, 14), 2017: (5, 3), 2018: (5, 22), 2019: (5, 12), 2020: (4, 30), 2021: (5, 19), 2022: (5, 8),
+    2023: (5, 26), 2024: (5, 15), 2025: (5, 5), 2026: (5, 24), 2027: (5, 13), 2028: (5, 2), 2029: (5, 20), 2030: (5, 9),
+}
+_TUEN_NG = {  # Tuen Ng Festival
+    2007: (6, 19), 2008: (6, 8), 2009: (5, 28), 2010: (6, 16), 2011: (6, 6), 2012: (6, 23), 2013: (6, 12), 2014: (6, 2),
+    2015: (6, 20), 2016: (6, 9), 2017: (5, 30), 2018: (6, 18), 2019: (6, 7), 2020: (6, 25), 2021: (6, 14), 2022: (6, 3),
+    2023: (6, 22), 2024: (6, 10), 2025: (5, 31), 2026: (6, 19), 2027: (6, 9), 2028: (5, 28), 2029: (6, 16), 2030: (6, 5),
+}
+_MID_AUTUMN = {  # the day after Mid-Autumn
+    2007: (9, 26), 2008: (9, 15), 2009: (10, 3), 2010: (9, 23), 2011: (9, 13), 2012: (10, 1), 2013: (9, 20), 2014: (9, 9),
+    2015: (9, 28), 2016: (9, 16), 2017: (10, 5), 2018: (9, 25), 2019: (9, 14), 2020: (10, 2), 2021: (9, 22), 2022: (9, 12),
+    2023: (9, 30), 2024: (9, 18), 2025: (10, 7), 2026: (9, 26), 2027: (9, 16), 2028: (10, 4), 2029: (9, 23), 2030: (9, 13),
+}
+_CHUNG_YEUNG = {  # Chung Yeung Festival
+    2007: (10, 19), 2008: (10, 7), 2009: (10, 26), 2010: (10, 16), 2011: (10, 5), 2012: (10, 23), 2013: (10, 13), 2014: (10, 2),
+    2015: (10, 21), 2016: (10, 9), 2017: (10, 28), 2018: (10, 17), 2019: (10, 7), 2020: (10, 26), 2021: (10, 14), 2022: (10, 4),
+    2023: (10, 23), 2024: (10, 11), 2025: (10, 29), 2026: (10, 18), 2027: (10, 8), 2028: (10, 26), 2029: (10, 16), 2030: (10, 5),
+}
+
+
+def _dated(table: dict[int, tuple[int, int]]) -> dict[int, date]:
+    return {year: date(year, month, day) for year, (month, day) in table.items()}
 
 
 def _hong_kong() -> ExchangeCalendar:
-    new_year = _by_year(_NEW_YEAR_FROM_1990, 1990)
-    lunar = [_by_year(t, 2007) for t in (_BUDDHA_FROM_2007, _TUEN_NG_FROM_2007, _MID_AUTUMN_FROM_2007, _CHUNG_YEUNG_FROM_2007)]
+    new_year = _dated(_LUNAR_NEW_YEAR)
+    lunar = [_dated(t) for t in (_BUDDHA, _TUEN_NG, _MID_AUTUMN, _CHUNG_YEUNG)]
 
     def ching_ming(year: int) -> date:
         # The solar term's day by the usual approximation; a clash with Easter Monday moves it on.

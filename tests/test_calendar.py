@@ -67,3 +67,22 @@ def test_filter_and_index(spark):
     assert get_calendar("XTKS").trading_index(spark, "2024-01-10", "2024-01-10", "30 minutes", "left").count() == 10
     table = c.session_table(ntz, "date")
     assert c.with_session(ntz, "date", table).where("_session is not null").count() == 3
+
+
+def test_cache_keys_tell_calendars_apart_and_are_the_same_in_each_process():
+    import subprocess
+    import sys
+    from dataclasses import replace
+
+    london = get_calendar("XLON")
+    code = "from barlight.plans.venues import get_calendar; print(get_calendar('XLON').cache_key)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == london.cache_key
+    assert replace(london, special_closures=None, _memo={}).cache_key != london.cache_key
+    assert len({get_calendar(n).cache_key for n in ("XNYS", "XCBO", "XCME", "GLBX", "CMES", "XLON", "XPAR", "XETR", "XTSE", "XTKS", "XHKG")}) == 11
+
+
+def test_times_that_are_all_null_are_an_error(spark):
+    bars = spark.createDataFrame([(None,), (None,)], "date timestamp_ntz")
+    with pytest.raises(ValueError, match="null"):
+        get_calendar("NYSE").filter_market_hours(bars)
+    assert get_calendar("NYSE").filter_market_hours(bars.where("false")).count() == 0

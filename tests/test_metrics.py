@@ -3,6 +3,7 @@
 import math
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -24,14 +25,24 @@ def value(spark, values, f):
     return series(spark, values).agg(f(F.col("return"))).first()[0]
 
 
-def test_known_values(spark):
-    r = [0.02, -0.01, 0.03, -0.01]
-    assert value(spark, r, M.omega) == pytest.approx(2.5) and value(spark, r, M.payoff_ratio) == pytest.approx(2.5)
-    assert value(spark, r, M.profit_factor) == pytest.approx(2.5) and value(spark, r, M.kelly) == pytest.approx(0.3)
-    dd = [x.drawdown for x in M.drawdown(series(spark, [0.10, -0.20]), BarOrder()).orderBy("date").collect()]
-    assert dd == pytest.approx([0, 0.88 / 1.1 - 1])
-    falls = spark.createDataFrame([(date(2024, 1, i + 1), d) for i, d in enumerate([0.0, -0.05, -0.10, 0.0])] + [(date(2024, 1, 4), -0.1)], "date date, drawdown double")
-    assert falls.where("date < '2024-01-04'").agg(M.avg_drawdown(F.col("drawdown"))).first()[0] == pytest.approx(-0.075)
+def ratios(x):
+    """Omega, payoff ratio, profit factor and Kelly share of a series, written out with numpy."""
+    won, lost = x[x > 0], -x[x < 0]
+    payoff = won.mean() / lost.mean()
+    chance = len(won) / (len(won) + len(lost))
+    return won.sum() / lost.sum(), payoff, won.sum() / lost.sum(), chance - (1 - chance) / payoff
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ratios_and_drawdowns_of_random_series(spark, seed):
+    x = np.random.default_rng(seed).normal(0.001, 0.02, 40)
+    r = x.tolist()
+    assert [value(spark, r, f) for f in (M.omega, M.payoff_ratio, M.profit_factor, M.kelly)] == pytest.approx(ratios(x))
+    wealth = np.cumprod(1 + x)
+    want = wealth / np.maximum.accumulate(wealth) - 1
+    falls = M.drawdown(series(spark, r), BarOrder())
+    assert [f.drawdown for f in falls.orderBy("date").collect()] == pytest.approx(want.tolist())
+    assert falls.agg(M.avg_drawdown(F.col("drawdown"))).first()[0] == pytest.approx(want[want < 0].mean())
 
 
 def test_empty_and_flat(spark):
@@ -47,10 +58,12 @@ def test_empty_and_flat(spark):
 
 
 def test_trades(spark):
-    rows = [(date(2024, 1, 1 + i), date(2024, 1, 3 + i), 1, p, 2) for i, p in enumerate([0.02, -0.01, 0.03, -0.01])]
+    x = np.random.default_rng(7).normal(0.002, 0.03, 25)
+    rows = [(date(2024, 1, 1) + timedelta(days=i), date(2024, 1, 3) + timedelta(days=i + i % 4), 1, p, 1) for i, p in enumerate(x.tolist())]
     t = spark.createDataFrame(rows, "entry_date date, exit_date date, side int, pnl double, bars_held long")
     m = M.trade_metrics(t).first()
-    assert (m.payoff_ratio, m.profit_factor, m.kelly, m.mean_pnl, m.avg_bars_held) == pytest.approx((2.5, 2.5, 0.3, 0.0075, 2))
+    _, payoff, factor, kelly = ratios(x)
+    assert (m.payoff_ratio, m.profit_factor, m.kelly, m.mean_pnl, m.avg_bars_held) == pytest.approx((payoff, factor, kelly, x.mean(), np.mean([(r[1] - r[0]).days for r in rows])))
     assert M.trade_metrics(t.where("pnl > 0")).first().profit_factor == math.inf and M.trade_metrics(t.where("pnl < 0")).first().payoff_ratio == 0
 
 
