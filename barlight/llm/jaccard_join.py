@@ -1,20 +1,23 @@
 """Operator 1: n-gram Jaccard join by PartEnum signatures.
 
 Sets of word shingles are put into size bands; a band's pairs differ in at
-most k features, so of n > k parts of the feature domain at least n - k agree
-exactly, and the hash of a part's features is a signature that both share.
-Three refinements keep the join exact and its buckets small:
+most k features. The feature domain is cut into n1 parts with n1 * (LEAVE + 1)
+> k, so some part holds at most LEAVE of the differences; each part is cut
+into SUBPARTS, and the subsets of SUBPARTS - LEAVE of them are enumerated: one
+subset holds no difference at all, and the hash of its features is a signature
+that both sets share. Refinements that keep the join exact:
 
 * Shingles that are frequent in the corpus (a bounded table, found by local
   counts) take no part in the first family of signatures; sets with too few
   rare shingles for the pigeonhole argument ("thin" ones) also sign with all
   their features in a second family.
-* A part in which a set has no feature signs nothing, unless the set has so
-  many empty parts that all agreeing parts could be empty.
-* Buckets of up to SMALL sets give all their pairs, larger ones a star around
-  one member. The sets of such buckets go through an exact prefix-filter join,
-  which finds all their pairs; where only components are asked for, just the
-  pairs between members that the star leaves in different components.
+* A subset in which a set has no feature signs nothing, unless the set is so
+  small that all agreeing subsets could be empty.
+* Signatures of up to SMALL sets give all their pairs, larger ones a star
+  around one member. What stars leave in different components is compared in
+  blocks of bounded size, first by sketches; what these leave possible, and for
+  the number of links every component, is multiplied out in blocks of sets as
+  incidence matrices. Blocks return counts and a spanning forest, never pairs.
 
 A parity sketch of each set bounds the size of a difference from below, so
 most false candidates go without their texts; the rest are verified on the
@@ -24,7 +27,7 @@ Equal sets are one node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .store import materialise, release, shuffle_partitions
-from .words import give_back, hashed_words, mix, shingle_sets
+from .store import discard, materialise, release, shuffle_partitions
+from .words import hashed_words, mix, shingle_sets, slices
 
 #: Largest bucket whose pairs are all emitted.
 SMALL = 8
@@ -42,29 +45,21 @@ SMALL = 8
 FREQUENT_MOST = 1 << 18
 #: A shingle is frequent if the windows that hold it in two sets or more add up to so many sets.
 FREQUENT_SETS = 8
-#: Features counted together, and bytes of text hashed together.
+#: Second-level cuts of a part of the feature domain, and how many of them a signature leaves out.
+SUBPARTS, LEAVE = 3, 1
+#: Features counted together.
 WINDOW_FEATURES = 1 << 22
-SLICE_BYTES = 1 << 22
 #: Words of 64 bits in a set's parity sketch, and bits of the filter that picks out documents by id.
 SKETCH = 16
 FILTER_BITS = 1 << 23
 #: Members verified against one copy of their star's centre.
-STAR_SHARE = 512
-#: Sets of a block on average; pairs of a component's blocks are verified together.
-BLOCK_SETS = 256
+STAR_SHARE = 64
+#: Sets and features of a block on average; two blocks are compared in one task.
+BLOCK_SETS, BLOCK_FEATURES = 1024, 1 << 18
 
 _SALT_BAND = np.uint64(0xD6E8FEB86659FD93)
 _SALT_PART = np.uint64(0x9E3779B97F4A7C15)
-
-
-def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about `most` bytes of text, one row at least."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)) + 64
-    cut = (np.cumsum(size) - size) // most
-    edges = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1], [True]])) if len(cut) else np.zeros(1, int)
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        yield batch.slice(low, high - low)
-        give_back()
+_SALT_LEFT = np.arange(1, SUBPARTS + 1, dtype=np.uint64) * np.uint64(0x62B2AE3D27D4EB4F)
 
 
 def set_keys(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,31 +120,45 @@ def as_long(x: np.ndarray) -> pa.Array:
 
 
 class Bands:
-    """Size bands of a threshold num / den and the parts of each band's feature domain."""
+    """Size bands of a threshold num / den and the first-level parts of each band's feature domain."""
 
-    def __init__(self, num: int, den: int, spread: float = 1.3, largest: int = 1 << 40):
+    def __init__(self, num: int, den: int, largest: int = 1 << 40):
         low = [1]
         while low[-1] <= largest:
             low.append(low[-1] * den // num + 1)
         self.num, self.den, self.low = num, den, np.array(low, dtype=np.int64)
         high = self.low[1:] - 1
-        self.parts = (spread * (2 * high * (den - num) // (den + num) + 1)).astype(np.int64) + 2
+        #: Features in which two similar sets of a band differ at most, and the parts that this needs.
+        self.apart = 2 * high * (den - num) // (den + num)
+        self.parts = self.apart // (LEAVE + 1) + 1
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, side="right") - 1
 
-    def distance(self, size: np.ndarray) -> np.ndarray:
-        """Features in which a set of this size and one similar to it can differ, at most."""
-        return size * (self.den - self.num) // self.num
+    def distance(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Features in which a set of this size and one similar to it in the band can differ, at most."""
+        return np.minimum(size * (self.den - self.num) // self.num, self.apart[band])
+
+    def sql(self, size: str) -> str:
+        """SQL: the band of a size below 2 ** 31."""
+        return f"size(filter(array({', '.join(f'{x}L' for x in self.low if x < 1 << 31)}), x -> x <= {size})) - 1"
 
 
 def signatures(bands: Bands, keys: np.ndarray, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and the index of the set of each; common: sorted frequent features."""
+    """Signatures, and the index of the set of each; common: sorted frequent features.
+
+    In a part with a difference, the agreeing subset is the one without it: a
+    set with features in two subparts or more signs a non-empty one whichever
+    that is, a set with features in one subpart alone can lose it to a single
+    difference. So a set is safe if its parts, counted twice or once, are more
+    than the differences it can have; others are thin.
+    """
     size = np.diff(offsets)
     owner = np.repeat(np.arange(len(size)), size)
     at = np.minimum(np.searchsorted(common, keys), max(0, len(common) - 1))
     rare = common[at] != keys if len(common) else np.ones(len(keys), dtype=bool)
     signed, owners = [], []
+    low32 = np.uint64(0xFFFFFFFF)
     for step in (0, 1):
         band = bands.of(size) + step
         takes = size > 0
@@ -162,21 +171,29 @@ def signatures(bands: Bands, keys: np.ndarray, offsets: np.ndarray, common: np.n
             parts = bands.parts[band]
             part = ((feature >> np.uint64(32)) * parts[own].astype(np.uint64)) >> np.uint64(32)
             salt = mix((band * 2 + family).astype(np.uint64) * _SALT_BAND)
-            filled = np.zeros(len(size), dtype=np.int64)
+            safe = np.zeros(len(size), dtype=np.int64)
+            edge, held = np.zeros(0, np.int64), np.zeros((SUBPARTS, 0), np.int64)
             if len(feature):
-                edge = np.ones(len(feature), dtype=bool)
-                edge[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
-                edge = np.flatnonzero(edge)
-                total = np.add.reduceat(mix(feature), edge)
-                signed.append(mix(total + mix(part[edge] * _SALT_PART + salt[own[edge]])))
-                owners.append(own[edge])
-                np.add.at(filled, own[edge], 1)
-            poor = thin & (filled < bands.distance(size) + 1)
+                fresh = np.ones(len(feature), dtype=bool)
+                fresh[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+                edge = np.flatnonzero(fresh)
+                sub, hashed = ((feature & low32) * np.uint64(SUBPARTS)) >> np.uint64(32), mix(feature)
+                sums = np.stack([np.add.reduceat(np.where(sub == i, hashed, np.uint64(0)), edge) for i in range(SUBPARTS)])
+                held = np.stack([np.add.reduceat((sub == i).astype(np.int64), edge) for i in range(SUBPARTS)])
+                base = mix(part[edge] * _SALT_PART + salt[own[edge]])
+                for left in range(SUBPARTS):
+                    filled = held.sum(0) > held[left]
+                    signed.append(mix((sums.sum(0) - sums[left] + base + _SALT_LEFT[left])[filled]))
+                    owners.append(own[edge][filled])
+                np.add.at(safe, own[edge], np.minimum(LEAVE + 1, (held > 0).sum(0)))
+            poor = thin & (safe <= bands.distance(size, band))
             if family == 1 and poor.any():
                 for i in np.flatnonzero(poor):
-                    every = np.arange(parts[i], dtype=np.uint64)
-                    empty = every[~np.isin(every, part[own == i])]
-                    signed.append(mix(mix(empty * _SALT_PART + salt[i])))
+                    mine = np.flatnonzero(own[edge] == i)
+                    full = np.zeros((SUBPARTS, parts[i]), dtype=np.int64)
+                    full[:, part[edge][mine].astype(np.int64)] = held[:, mine]
+                    left, empty = np.nonzero(full.sum(0)[None] == full)
+                    signed.append(mix(mix(empty.astype(np.uint64) * _SALT_PART + salt[i]) + _SALT_LEFT[left]))
                     owners.append(np.full(len(empty), i))
             thin, family = poor, family + 1
     if not signed:
@@ -355,57 +372,172 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, shared long, na long, nb long").distinct()
 
 
-def _verify_blocks(pairs: DataFrame, labels: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """As _verify, for many pairs inside components: labels (node, label) cut these into blocks, and a text goes once to each pair of blocks."""
-    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).alias("blocks"))
-    place = labels.join(sizes, "label").select("node", "label", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    of = lambda x: place.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("block").alias(f"k{x}"))
-    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    # The pair of blocks in one order, so that both directions share it.
-    sides = [F.struct(F.coalesce(f"l{x}", x).alias("l"), F.coalesce(f"k{x}", F.lit(0)).alias("k")) for x in "ab"]
-    placed = materialise(placed.select("a", "b", F.xxhash64(F.least(*sides), F.greatest(*sides)).alias("cell")), "blocks")
-    needed = placed.select(F.col("cell").alias("to"), F.col("a").alias("id")).union(placed.select("cell", "b")).distinct()
-    texts = needed.join(_picked(docs, needed.select("id")), "id").select("to", "id", "text")
-
-    def run(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        given = given.drop_duplicates("id")
-        held = {}
-        batch = pa.RecordBatch.from_arrays([pa.array(given["id"], pa.int64()), pa.array(given["text"], pa.string())], ["id", "text"])
-        for part in slices(batch, "text"):
-            keys, offsets = shingle_sets(*hashed_words(part.column("text")), width)
-            held.update((i, keys[a:b].copy()) for i, a, b in zip(part.column("id").to_pylist(), offsets[:-1], offsets[1:], strict=True))
-        shared = []
-        for a, b in zip(asked["a"], asked["b"], strict=True):
-            x, y = held[a], held[b]
-            shared.append(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
-        size = lambda x: [len(held[i]) for i in asked[x]]
-        return pd.DataFrame({"a": asked["a"], "b": asked["b"], "shared": shared, "na": size("a"), "nb": size("b")}).astype("int64")
-
-    return placed.groupBy("cell").cogroup(texts.groupBy("to")).applyInPandas(run, "a long, b long, shared long, na long, nb long")
-
-
-def _residual(hot: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Candidate pairs among hot(id, n and sketch), of different labels where it has any, by a prefix filter that is exact for all of them."""
-
-    def explode(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                keys, offsets = shingle_sets(*hashed_words(batch.column("text")), width)
-                n = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("id")), n)), pa.array(np.repeat(n, n)), as_long(keys)], ["id", "n", "feature"])
-
-    rows = materialise(_picked(docs, hot.select("id")).join(hot.select("id"), "id", "left_semi").mapInArrow(explode, "id long, n long, feature long"), "features")
-    often = rows.groupBy("feature").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(often, "feature")
-    each = Window.partitionBy("id")
-    # Features that no other set has come first in the order and are no candidates.
-    ranked = shared.withColumn("rank", F.row_number().over(each.orderBy("df", "feature"))).withColumn("single", F.col("n") - F.count("*").over(each))
-    prefix = ranked.where(F.expr(f"rank + single <= n - ceil(n * {num} / {den}) + 1")).select("feature", "id")
-    prefix = materialise(prefix.join(hot, "id"), "prefix")
-    left, right = prefix.alias("l"), prefix.alias("r")
-    apart = "and l.label <> r.label" if "label" in hot.columns else ""
-    joined = left.join(right, F.expr(f"l.feature = r.feature and l.id < r.id {apart} and {_sketch_allows('l', 'r', num, den)}"))
-    return joined.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+def _cells(rows: DataFrame, group: list[str], n: str, bands: Bands | None = None) -> DataFrame:
+    """rows with the cells that compare them: (cell, side, *columns), a row for each other block of its group.
+
+    A group is cut into blocks by a hash of the id. With bands, blocks are
+    those of a size band, and are compared within it and with the next one.
+    """
+    band = F.expr(bands.sql(n)) if bands else F.lit(0)
+    rows = rows.withColumn("band", band)
+    blocks = rows.groupBy(*group, "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum(n) / F.lit(BLOCK_FEATURES)) if bands else F.lit(1)).cast("int").alias("blocks"))
+    at = lambda step: blocks.select(*group, (F.col("band") - step).alias("band"), F.col("blocks").alias(f"b{step + 1}"))
+    # Own blocks, those of the band above and of the band below.
+    near = blocks.join(at(1), [*group, "band"], "left").join(at(-1), [*group, "band"], "left")
+    columns = [c for c in rows.columns if c not in (*group, "band")]
+    placed = rows.join(near, [*group, "band"]).withColumn("k", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    to = F.expr("""concat(
+        transform(sequence(0, blocks - 1), j -> struct(band as low, 0 as up, least(k, j) as i, greatest(k, j) as j, int(k > j) as side)),
+        if(b2 is null, array(), transform(sequence(0, b2 - 1), j -> struct(band as low, 1 as up, k as i, j as j, 0 as side))),
+        if(b0 is null, array(), transform(sequence(0, b0 - 1), j -> struct(band - 1 as low, 1 as up, j as i, k as j, 1 as side))))""")
+    sent = placed.select(*group, *columns, F.explode(to).alias("to"))
+    # One block alone is compared with itself.
+    return sent.select(F.struct(*group, "to.low", "to.up", "to.i", "to.j").alias("cell"), F.col("to.side").alias("side"), F.expr("to.up = 0 and to.i = to.j").alias("alone"), *columns)
+
+
+def _each_cell(rows: DataFrame, columns: list[str], solve: Callable, schema: str) -> DataFrame:
+    """solve(list of row tuples of columns, list of sides, alone) for every cell, streamed in order of the cells: a task holds one at a time."""
+    spark = rows.sparkSession
+    rows = rows.select(F.xxhash64("cell").alias("h"), F.to_json("cell").alias("cell"), "side", "alone", *columns)
+    rows = rows.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "cell", "side")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        now, held = None, []
+
+        def done():
+            out = solve(held, now[1]) if held else []
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names)
+
+        for batch in batches:
+            keys = list(zip(batch.column("cell").to_pylist(), batch.column("alone").to_pylist(), strict=True))
+            parts = list(zip(batch.column("side").to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True))
+            for key, part in zip(keys, parts, strict=True):
+                if key != now:
+                    yield done()
+                    now, held = key, []
+                held.append(part)
+        yield done()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _forest(pairs) -> list[tuple[int, int]]:
+    """The pairs (of labels, with the ids that stand for them) that join what earlier ones left apart."""
+    top: dict[int, int] = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for la, lb, a, b in pairs:
+        if (x := root(la)) != (y := root(lb)):
+            top[x] = y
+            out.append((a, b))
+    return out
+
+
+def _possible(num: int, den: int):
+    """Of a cell of (side, id, label, n, sketch): a forest of pairs of different labels that sizes and sketches leave possible."""
+
+    def solve(rows, alone):
+        side = np.array([r[0] for r in rows])
+        ids, label, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint64).reshape(len(rows), SKETCH)
+        names, at, times = np.unique(label, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return []
+        # Members of the most common label meet the others alone.
+        odd = np.flatnonzero(at != times.argmax())
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for low in range(0, len(odd), 64):
+            mine = odd[low : low + 64]
+            differ = np.zeros((len(mine), len(rows)), dtype=np.int64)
+            for w in range(SKETCH):
+                differ += np.bitwise_count(sketch[mine, w][:, None] ^ sketch[:, w][None])
+            a, b = n[mine][:, None], n[None]
+            able = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (differ * (den + num) <= (a + b) * (den - num)) & (label[mine][:, None] != label[None])
+            if not alone:
+                able &= side[mine][:, None] != side[None]
+            for i, j in zip(*np.nonzero(able), strict=True):
+                x, y = int(mine[i]), int(j)
+                found.setdefault((int(label[x]), int(label[y])), (int(ids[x]), int(ids[y])))
+        return _forest((la, lb, a, b) for (la, lb), (a, b) in found.items())
+
+    return solve
+
+
+def shared_features(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Number of features that each of sets has in common with each of others; features are distinct within a set."""
+    p, q = len(sets), len(others)
+    every = np.concatenate([*sets, *others])
+    _, code = np.unique(every, return_inverse=True)
+    split = sum(map(len, sets))
+    row, column = np.repeat(np.arange(p), [len(x) for x in sets]), np.repeat(np.arange(q), [len(x) for x in others])
+    left, right = code[:split], code[split:]
+    many = code.max(initial=-1) + 1
+    dl, dr = np.bincount(left, minlength=many), np.bincount(right, minlength=many)
+    out = np.zeros((p, q), dtype=np.float32)
+    # Features that few pairs share are added pair by pair, others by a product of incidence matrices.
+    for dense in (False, True):
+        kind = (dl > 0) & (dr > 0) & ((dl * dr > 64) == dense)
+        new = np.cumsum(kind) - 1
+        use_l, use_r = kind[left], kind[right]
+        l, r, x, y = new[left[use_l]], new[right[use_r]], row[use_l], column[use_r]
+        width = int(kind.sum())
+        if not width:
+            continue
+        if dense:
+            ol, orr = np.argsort(l, kind="stable"), np.argsort(r, kind="stable")
+            l, x, r, y = l[ol], x[ol], r[orr], y[orr]
+            for low in range(0, width, 2048):
+                high = min(width, low + 2048)
+                a, b = np.zeros((p, high - low), np.float32), np.zeros((q, high - low), np.float32)
+                at = slice(*np.searchsorted(l, (low, high)))
+                a[x[at], l[at] - low] = 1
+                at = slice(*np.searchsorted(r, (low, high)))
+                b[y[at], r[at] - low] = 1
+                out += a @ b.T
+        else:
+            order = np.argsort(r, kind="stable")
+            r, y = r[order], y[order]
+            first, times = np.searchsorted(r, l), dr[kind][l]
+            place = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            out += np.bincount(np.repeat(x, times) * q + y[place], minlength=p * q).reshape(p, q)
+    return out
+
+
+def _multiplied(width: int, num: int, den: int):
+    """Of a cell of (side, id, label, text): (id, null, links) of sets with links in it, and (id, id, null) of a forest of links across labels."""
+
+    def solve(rows, alone):
+        # Repeated rows of an id are one node here.
+        rows = list({(r[0], r[1]): r for r in rows}.values())
+        keys, offsets = shingle_sets(*hashed_words(pa.array([r[3] for r in rows], pa.string())), width)
+        sets = [keys[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        left = [i for i, r in enumerate(rows) if alone or not r[0]]
+        right = left if alone else [i for i, r in enumerate(rows) if r[0]]
+        if not left or not right:
+            return []
+        shared = shared_features([sets[i] for i in left], [sets[i] for i in right])
+        n, ids, label = np.diff(offsets), np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
+        left, right = np.array(left), np.array(right)
+        linked = shared * den >= (n[left][:, None] + n[right][None] - shared) * num
+        linked &= ids[left][:, None] != ids[right][None]
+        out = []
+        for who, many in [(left, linked.sum(1))] + ([] if alone else [(right, linked.sum(0))]):
+            out += [(int(ids[i]), None, int(m)) for i, m in zip(who, many, strict=True) if m]
+        across = linked & (label[left][:, None] != label[right][None])
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, j in zip(*np.nonzero(across), strict=True):
+            x, y = left[i], right[j]
+            found.setdefault((int(label[x]), int(label[y])), (int(ids[x]), int(ids[y])))
+        return out + [(a, b, None) for a, b in _forest((la, lb, a, b) for (la, lb), (a, b) in found.items())]
+
+    return solve
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, links: bool = True) -> DataFrame:
@@ -415,10 +547,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     input row: set size, smallest id reachable by links, smallest id with an
     equal set, number of other sets that are similar (equal sets count as one).
     With links=False n_links is left out, and pairs that the components do not
-    need are not verified. A null text, an empty one and one without words have an empty set and
-    link with nothing. A row with a null id links with nothing and keeps null
-    ids. An id names one text; repeated rows of it give repeated result rows.
-    Other columns are ignored. An empty table gives an empty result.
+    need are not verified. A null text, an empty one and one without words have
+    an empty set and link with nothing. A row with a null id links with nothing
+    and keeps null ids. An id names one text; repeated rows of it give repeated
+    result rows. Other columns are ignored. An empty table gives an empty
+    result.
     """
     if not 0 < num < den:
         raise ValueError("the threshold must lie between 0 and 1")
@@ -441,45 +574,54 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialise(found.where("star or able"), "candidates")
     release(spark)
 
-    link = f"shared * {den} >= (na + nb - shared) * {num}"
     able = found.where("able").select("a", "b")
-    near = materialise(_verify(able, known, width).where(link).select("a", "b"), "links")
+    near = materialise(_verify(able, known, width).where(f"shared * {den} >= (na + nb - shared) * {num}").select("a", "b"), "links")
     release(spark)
     labels = connected_components(near)
+    sketches = nodes.select(F.col("class").alias("id"), "n", *_WORDS)
+    labelled = sketches.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
+    # Stars whose members are in different components: which of these could still be one.
     stars = found.where("star").select("a", "b")
-    sketches = nodes.select(F.col("class").alias("id"), "n", *_WORDS)
-    if links:
-        hot = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct().join(sketches, "id")
-    else:
-        label_of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
-        stars = stars.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-        stars = materialise(stars, "stars")
-        open_ = stars.where("la <> lb").select("a").distinct()
-        torn = stars.join(open_, "a", "left_semi")
-        hot = torn.select(F.col("a").alias("id"), F.col("la").alias("label")).union(torn.select("b", "lb")).distinct().join(sketches, "id")
-    hot = materialise(hot, "hot")
-    if not hot.isEmpty():
-        more = _residual(hot, known, width, num, den)
-        if links:
-            more = more.join(able.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        more = materialise(more, "residual")
-        release(spark)
-        checked = _verify_blocks(more, labels, known, width) if links else _verify(more, known, width)
-        again = materialise(checked.where(link).select("a", "b"), "links")
-        if not again.isEmpty():
-            near = near.union(again)
-            labels = connected_components(near)
+    groups = stars.union(stars.select("a", F.col("a").alias("b"))).distinct().withColumnRenamed("b", "id")
+    groups = materialise(groups.join(labelled.select("id", "label"), "id"), "stars")
+    open_ = groups.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("a")
+    torn = groups.join(open_, "a", "left_semi")
+    sketch = F.concat(*(F.to_binary(F.lpad(F.hex(w), 16, "0"), F.lit("hex")) for w in _WORDS))
+    torn = torn.join(sketches.select("id", "n", sketch.alias("sketch")), "id")
+    maybe = materialise(_each_cell(_cells(torn, ["a"], "n"), ["id", "label", "n", "sketch"], _possible(num, den), "a long, b long"), "possible")
+
+    # Components and what could join them are multiplied out: those of several labels, and for the links those of three sets or more.
+    own = labelled.select("id", "label")
+    edges = maybe.join(own.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(own.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+    merged = connected_components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    whole = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("whole")), "label", "left").select(F.col("node").alias("id"), "label", F.coalesce("whole", "label").alias("whole"))
+    # Sets without a link so far that could have one.
+    alone = merged.join(labels.select("label"), merged["node"] == labels["label"], "left_anti").select(F.col("node").alias("id"), F.col("node").alias("label"), merged["label"].alias("whole"))
+    whole = materialise(whole.union(alone), "whole")
+    wide = whole.groupBy("whole").agg(F.count("*").alias("sets"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high" + (" or sets > 2" if links else "")).select("whole")
+    asked = whole.join(wide, "whole", "left_semi").join(sketches.select("id", "n"), "id")
+    asked = materialise(_cells(asked, ["whole"], "n", bands).select("cell", "side", "alone", "id", "label"), "cells")
+    texts = asked.join(_picked(known, asked.select("id")), "id")
+    solved = materialise(_each_cell(texts, ["id", "label", "text"], _multiplied(width, num, den), "a long, b long, links long"), "solved")
+    release(spark)
+    again = solved.where("b is not null").select("a", "b")
+    if not again.isEmpty():
+        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(again))
 
     named = nodes.join(labels, nodes["class"] == labels["node"], "left").select("k1", "k2", "class", F.coalesce("label", "class").alias("component"))
     has = F.col("n") > 0
     counted = []
     if links:
-        ends = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        degree = ends.select(F.col("a").alias("class")).union(ends.select("b")).groupBy("class").agg(F.count("*").alias("links"))
-        named = named.join(degree, "class", "left")
+        # A set that was not multiplied out is alone or one of two.
+        many = solved.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+        pair = whole.join(wide, "whole", "left_anti").select(F.col("id").alias("class"), F.lit(1).cast("long").alias("links"))
+        named = named.join(many.union(pair), "class", "left")
         counted = [F.when(has & F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")]
-    return members.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
+    named = materialise(named, "named")
+    members = materialise(members.select("id", "n", "k1", "k2"), "members")
+    discard(digests, nodes, found, near, groups, maybe, whole, asked, solved)
+    return members.join(named, ["k1", "k2"], "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(has & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),

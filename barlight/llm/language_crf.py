@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import LOWER, WHITE, hash_words, mix, text_bytes, word_spans
+from .words import LOWER, WHITE, hash_words, mix, slices, text_bytes, word_spans
 
 #: Documents of each language that are learned from, at most; chosen by a hash of their id among all that may be.
 SAMPLE_DOCS = 120
@@ -208,8 +208,6 @@ def identify_language(docs: DataFrame, held_out: Column | None = None, id_col: s
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        from .jaccard_join import slices
-
         names = model.value.labels
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, hash_words, mix, separator_table, text_bytes, word_spans
+from .words import LOWER, hash_words, mix, separator_table, slices, text_bytes, word_spans
 
 GRAM, BAND = 3, 6
 _SEPARATORS = separator_table([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
@@ -93,8 +93,6 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        from .jaccard_join import slices
-
         for whole in batches:
             for batch in slices(whole, "text"):
                 words, rows, first, last = _words(batch.column("text"))

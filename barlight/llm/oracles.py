@@ -26,10 +26,14 @@ WITH RECURSIVE cut AS (
   SELECT l.y, r.root FROM reach r JOIN both_ways l ON l.x = r.doc_id WHERE r.root < l.y
 ), components AS (
   SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+), classes AS (
+  SELECT doc_id, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM sets
+), counted AS (
+  SELECT l.x AS doc_id, count(DISTINCT b.class_id) AS n_links
+  FROM both_ways l JOIN classes a ON l.x = a.doc_id JOIN classes b ON l.y = b.doc_id WHERE a.class_id <> b.class_id GROUP BY l.x
 )
-SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id,
-  CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY s.s) END AS class_id
-FROM sets s JOIN components c ON s.doc_id = c.doc_id
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, k.class_id, coalesce(n.n_links, 0) AS n_links
+FROM sets s JOIN components c ON s.doc_id = c.doc_id JOIN classes k ON s.doc_id = k.doc_id LEFT JOIN counted n ON s.doc_id = n.doc_id
 """
 
 TOP_K = """

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import slices
+
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Words kept between batches of a task.
@@ -275,8 +277,6 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        from .jaccard_join import slices
-
         if key not in _CODECS:
             _CODECS[key] = PieceCodec(data.value)
         codec = _CODECS[key]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import fresh_path, materialise, shuffle_partitions
+from .words import slices
 
 #: Words whose counts a worker keeps between batches.
 CACHE_WORDS = 1_000_000
@@ -124,8 +125,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     path = f"{cache}/version={version}"
 
     def run(batches):
-        from .jaccard_join import slices
-
         if version not in _COUNTERS:
             _COUNTERS[version] = Counter(name, data.value)
         for first in _first_of_task(batches):

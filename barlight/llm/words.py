@@ -8,9 +8,11 @@ take whole texts; a null text counts as empty.
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _SEED = np.random.default_rng(20240229)
 #: One random 64-bit value for each byte, and the base of the polynomial with its inverse.
@@ -55,6 +57,20 @@ def give_back() -> None:
         _TRIM(0)
 
 
+#: Bytes of text that a worker takes up at once.
+SLICE_BYTES = 1 << 22
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about `most` bytes of text, one row at least."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)) + 64
+    cut = (np.cumsum(size) - size) // most
+    edges = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1], [True]])) if len(cut) else np.zeros(1, int)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(low, high - low)
+        give_back()
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     if n:

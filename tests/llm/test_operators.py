@@ -11,7 +11,7 @@ import pytest
 
 from barlight.llm import queries as Q
 from barlight.llm.decontaminate import contamination, decontaminate, proximity_matches
-from barlight.llm.jaccard_join import Bands, ngram_jaccard_join, signatures
+from barlight.llm.jaccard_join import LEAVE, SUBPARTS, Bands, ngram_jaccard_join, shared_features, signatures
 from barlight.llm.language_crf import identify_language
 from barlight.llm.license_scan import license_scan
 from barlight.llm.line_dedup import dropped_lines, line_dedup, line_report
@@ -86,18 +86,63 @@ def test_jaccard_join(spark, odd, docs, rows):
 
 
 def test_similar_sets_share_a_signature():
+    """Random pairs at the threshold, with and without frequent shingles, whichever sizes the two have."""
     rng = np.random.default_rng(1)
     bands = Bands(75, 100)
-    for n in (1, 2, 3, 4, 7, 20, 133, 500):
-        for _ in range(20):
+    for n in (1, 2, 3, 4, 5, 6, 7, 12, 20, 133, 500):
+        for trial in range(60):
+            common = int(rng.integers(0, n + 1))
             a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
-            b, cut = a.copy(), n // 8
-            b[:cut] = rng.integers(0, 1 << 64, cut, dtype=np.uint64)
-            common = np.sort(a[: n // 2])
+            kept = -(-3 * n // 4) + int(rng.integers(0, n - -(-3 * n // 4) + 1))
+            # As many new features as the threshold lets in beside those that are kept.
+            more = kept * 4 // 3 - n if trial % 2 else 0
+            b = np.concatenate([a[:kept], rng.integers(0, 1 << 64, more, dtype=np.uint64)])
+            assert 100 * kept >= 75 * (n + more)
+            often = np.sort(rng.permutation(a)[:common])
             sets = [np.sort(a), np.sort(b)]
-            keys, owner = signatures(bands, np.concatenate(sets), np.array([0, n, 2 * n]), common)
-            if 100 * (n - cut) >= 75 * (n + cut):
-                assert set(keys[owner == 0]) & set(keys[owner == 1])
+            keys, owner = signatures(bands, np.concatenate(sets), np.array([0, n, n + len(b)]), often)
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (n, trial)
+
+
+def test_subsets_of_parts_are_enumerated():
+    """A set with features all over signs each part SUBPARTS times, and any single difference leaves one of these."""
+    rng = np.random.default_rng(3)
+    bands = Bands(75, 100)
+    a = np.sort(rng.integers(0, 1 << 64, 4000, dtype=np.uint64))
+    parts = bands.parts[bands.of(np.array([4000]))][0]
+    keys, _ = signatures(bands, a, np.array([0, 4000]), np.zeros(0, np.uint64))
+    assert parts * (LEAVE + 1) > bands.apart[bands.of(np.array([4000]))][0]
+    own = signatures(bands, np.delete(a, 17), np.array([0, 3999]), np.zeros(0, np.uint64))[0]
+    lost = len(set(keys.tolist()) - set(own.tolist()))
+    assert lost in (SUBPARTS - LEAVE, 2 * (SUBPARTS - LEAVE)) and len(keys) > 2 * parts
+
+
+def test_shared_features_are_counted():
+    rng = np.random.default_rng(4)
+    for many, size, of in ((5, 40, 60), (40, 30, 35), (3, 500, 5000), (60, 20, 4000)):
+        sets = [np.unique(rng.integers(0, of, size)).astype(np.uint64) for _ in range(2 * many)]
+        got = shared_features(sets[:many], sets[many:])
+        assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[many:]] for x in sets[:many]]
+
+
+def test_blocks_meet_each_other_once(spark, monkeypatch):
+    """Groups of many blocks, so that every pair of blocks and of neighbouring bands is a cell."""
+    from barlight.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_FEATURES", 400)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(150)]
+    made = []
+    for i in range(70):
+        w = list(base[: rng.integers(90, 150)])
+        for p in rng.choice(len(w), rng.integers(1, 4), replace=False):
+            w[p] = f"n{i}x{p}"
+        made.append((i, " ".join(w)))
+    sets = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in made}
+    want = {i: sum(s != x and 100 * len(s & x) >= 75 * len(s | x) for x in sets.values()) for i, s in sets.items()}
+    got = ngram_jaccard_join(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(made)
 
 
 def test_many_near_copies_stay_whole(spark):
