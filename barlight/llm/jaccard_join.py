@@ -91,6 +91,43 @@ def parity(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _WORDS = [f"w{i}" for i in range(SKETCH)]
 
 
+def wide_sketches(keys: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """Parity sketches of sets larger than the bits of a short one, of as many bits at least as they have features; None for others.
+
+    The number of bits is a power of two, so that exclusive or of its halves is the sketch of half as many.
+    """
+    out: list[bytes | None] = [None] * (len(offsets) - 1)
+    for i in np.flatnonzero(np.diff(offsets) > 64 * SKETCH):
+        own = keys[offsets[i] : offsets[i + 1]]
+        bits = 1 << (len(own) - 1).bit_length()
+        odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    return out
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """Sketch of size words of 64 bits from a larger one."""
+    x = np.frombuffer(sketch, dtype=np.uint64)
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+
+
+def _allowed_by_wide(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs(a, b) of large sets that wide(id, n, wide) leaves possible."""
+    sides = [wide.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab"]
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+            most = (na + nb) * (den - num) // (den + num)
+            keep = np.zeros(len(batch), dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)):
+                size = min(len(x), len(y)) // 8
+                keep[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
 def _sketch_allows(l: str, r: str, num: int, den: int) -> str:
     """SQL: sizes and sketches of l and r leave a similarity of num / den possible."""
     apart = " + ".join(f"bit_count({l}.{w} ^ {r}.{w})" for w in _WORDS)
@@ -158,7 +195,6 @@ def signatures(bands: Bands, keys: np.ndarray, offsets: np.ndarray, common: np.n
     at = np.minimum(np.searchsorted(common, keys), max(0, len(common) - 1))
     rare = common[at] != keys if len(common) else np.ones(len(keys), dtype=bool)
     signed, owners = [], []
-    low32 = np.uint64(0xFFFFFFFF)
     for step in (0, 1):
         band = bands.of(size) + step
         takes = size > 0
@@ -169,30 +205,34 @@ def signatures(bands: Bands, keys: np.ndarray, offsets: np.ndarray, common: np.n
             use = thin[owner] & (rare if family == 0 else True)
             feature, own = keys[use], owner[use]
             parts = bands.parts[band]
-            part = ((feature >> np.uint64(32)) * parts[own].astype(np.uint64)) >> np.uint64(32)
+            # Features ascend, so the features of a part, and of a subpart, follow each other.
+            fine = ((feature >> np.uint64(32)) * (SUBPARTS * parts[own]).astype(np.uint64)) >> np.uint64(32)
+            fresh = np.ones(len(feature), dtype=bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (fine[1:] != fine[:-1])
+            edge = np.flatnonzero(fresh)
+            own, fine = own[edge], fine[edge].astype(np.int64)
+            sub, part = fine % SUBPARTS, fine // SUBPARTS
+            fresh = np.ones(len(edge), dtype=bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+            at = np.cumsum(fresh) - 1
+            own, part = own[fresh], part[fresh]
+            sums, held = np.zeros((len(own), SUBPARTS), np.uint64), np.zeros((len(own), SUBPARTS), bool)
+            if len(edge):
+                sums[at, sub], held[at, sub] = np.add.reduceat(mix(feature), edge), True
             salt = mix((band * 2 + family).astype(np.uint64) * _SALT_BAND)
-            safe = np.zeros(len(size), dtype=np.int64)
-            edge, held = np.zeros(0, np.int64), np.zeros((SUBPARTS, 0), np.int64)
-            if len(feature):
-                fresh = np.ones(len(feature), dtype=bool)
-                fresh[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
-                edge = np.flatnonzero(fresh)
-                sub, hashed = ((feature & low32) * np.uint64(SUBPARTS)) >> np.uint64(32), mix(feature)
-                sums = np.stack([np.add.reduceat(np.where(sub == i, hashed, np.uint64(0)), edge) for i in range(SUBPARTS)])
-                held = np.stack([np.add.reduceat((sub == i).astype(np.int64), edge) for i in range(SUBPARTS)])
-                base = mix(part[edge] * _SALT_PART + salt[own[edge]])
-                for left in range(SUBPARTS):
-                    filled = held.sum(0) > held[left]
-                    signed.append(mix((sums.sum(0) - sums[left] + base + _SALT_LEFT[left])[filled]))
-                    owners.append(own[edge][filled])
-                np.add.at(safe, own[edge], np.minimum(LEAVE + 1, (held > 0).sum(0)))
+            base = sums.sum(1) + mix(part.astype(np.uint64) * _SALT_PART + salt[own])
+            filled = held.sum(1)
+            for left in range(SUBPARTS):
+                some = filled > held[:, left]
+                signed.append(mix((base - sums[:, left] + _SALT_LEFT[left])[some]))
+                owners.append(own[some])
+            safe = np.bincount(own, np.minimum(LEAVE + 1, filled), len(size)).astype(np.int64)
             poor = thin & (safe <= bands.distance(size, band))
             if family == 1 and poor.any():
                 for i in np.flatnonzero(poor):
-                    mine = np.flatnonzero(own[edge] == i)
-                    full = np.zeros((SUBPARTS, parts[i]), dtype=np.int64)
-                    full[:, part[edge][mine].astype(np.int64)] = held[:, mine]
-                    left, empty = np.nonzero(full.sum(0)[None] == full)
+                    full = np.zeros((parts[i], SUBPARTS), dtype=bool)
+                    full[part[own == i]] = held[own == i]
+                    empty, left = np.nonzero(full.sum(1)[:, None] == full)
                     signed.append(mix(mix(empty.astype(np.uint64) * _SALT_PART + salt[i]) + _SALT_LEFT[left]))
                     owners.append(np.full(len(empty), i))
             thin, family = poor, family + 1
@@ -204,7 +244,7 @@ def signatures(bands: Bands, keys: np.ndarray, offsets: np.ndarray, common: np.n
 def _digest(text: str, width: int, buckets: int):
     """Rows (id, n, k1, k2) of the documents, and rows (bucket, blob) of locally repeated shingles with their counts."""
 
-    names = ["id", "n", "k1", "k2", *_WORDS, "bucket", "blob"]
+    names = ["id", "n", "k1", "k2", *_WORDS, "wide", "bucket", "blob"]
 
     def run(batches):
         held, count, seen = [], 0, []
@@ -220,7 +260,7 @@ def _digest(text: str, width: int, buckets: int):
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
             rows = [i for i in range(buckets) if edge[i] < edge[i + 1]]
             blobs = [feature[edge[i] : edge[i + 1]].tobytes() + times[edge[i] : edge[i + 1]].astype(np.uint32).tobytes() for i in rows]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64())] * (4 + SKETCH) + [pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64())] * (4 + SKETCH) + [pa.nulls(len(rows), pa.binary()), pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names)
 
         for whole in batches:
             for batch in slices(whole, text):
@@ -228,7 +268,7 @@ def _digest(text: str, width: int, buckets: int):
                 k1, k2 = set_keys(keys, offsets)
                 n = np.diff(offsets)
                 words = [pa.array(w) for w in np.ascontiguousarray(parity(keys, offsets).T)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), as_long(k1), as_long(k2), *words, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), as_long(k1), as_long(k2), *words, pa.array(wide_sketches(keys, offsets), pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
                 _, first = np.unique(k1, return_index=True)
                 fresh = np.zeros(len(n), dtype=bool)
                 fresh[first] = True
@@ -372,15 +412,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, shared long, na long, nb long").distinct()
 
 
-def _cells(rows: DataFrame, group: list[str], n: str, bands: Bands | None = None) -> DataFrame:
+def _cells(rows: DataFrame, group: list[str], n: str, bands: Bands) -> DataFrame:
     """rows with the cells that compare them: (cell, side, *columns), a row for each other block of its group.
 
-    A group is cut into blocks by a hash of the id. With bands, blocks are
-    those of a size band, and are compared within it and with the next one.
+    The sets of a size band are cut into blocks by a hash of their ids, and
+    blocks are compared within the band and with those of the next one.
     """
-    band = F.expr(bands.sql(n)) if bands else F.lit(0)
-    rows = rows.withColumn("band", band)
-    blocks = rows.groupBy(*group, "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum(n) / F.lit(BLOCK_FEATURES)) if bands else F.lit(1)).cast("int").alias("blocks"))
+    rows = rows.withColumn("band", F.expr(bands.sql(n)))
+    blocks = rows.groupBy(*group, "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum(n) / F.lit(BLOCK_FEATURES))).cast("int").alias("blocks"))
     at = lambda step: blocks.select(*group, (F.col("band") - step).alias("band"), F.col("blocks").alias(f"b{step + 1}"))
     # Own blocks, those of the band above and of the band below.
     near = blocks.join(at(1), [*group, "band"], "left").join(at(-1), [*group, "band"], "left")
@@ -441,12 +480,13 @@ def _forest(pairs) -> list[tuple[int, int]]:
 
 
 def _possible(num: int, den: int):
-    """Of a cell of (side, id, label, n, sketch): a forest of pairs of different labels that sizes and sketches leave possible."""
+    """Of a cell of (side, id, label, n, sketch, wide): a forest of pairs of different labels that sizes and sketches leave possible."""
 
     def solve(rows, alone):
         side = np.array([r[0] for r in rows])
         ids, label, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-        sketch = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint64).reshape(len(rows), SKETCH)
+        words = min(len(r[5]) // 8 if r[5] else SKETCH for r in rows)
+        sketch = np.stack([folded(r[5], words) if r[5] else np.array(r[4], dtype=np.int64).view(np.uint64) for r in rows])
         names, at, times = np.unique(label, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return []
@@ -456,7 +496,7 @@ def _possible(num: int, den: int):
         for low in range(0, len(odd), 64):
             mine = odd[low : low + 64]
             differ = np.zeros((len(mine), len(rows)), dtype=np.int64)
-            for w in range(SKETCH):
+            for w in range(words):
                 differ += np.bitwise_count(sketch[mine, w][:, None] ^ sketch[:, w][None])
             a, b = n[mine][:, None], n[None]
             able = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (differ * (den + num) <= (a + b) * (den - num)) & (label[mine][:, None] != label[None])
@@ -559,7 +599,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = 1 << max(4, (shuffle_partitions(spark) - 1).bit_length())
     bands = Bands(num, den)
-    digests = materialise(docs.mapInArrow(_digest("text", width, buckets), f"id long, n long, k1 long, k2 long, {', '.join(f'{w} long' for w in _WORDS)}, bucket int, blob binary"), "digests")
+    digests = materialise(docs.mapInArrow(_digest("text", width, buckets), f"id long, n long, k1 long, k2 long, {', '.join(f'{w} long' for w in _WORDS)}, wide binary, bucket int, blob binary"), "digests")
     members = digests.where("bucket is null").select("id", "n", "k1", "k2", *_WORDS)
     nodes = materialise(members.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("class"), F.max("n").alias("n"), *(F.min(w).alias(w) for w in _WORDS)), "classes")
     common = spark.sparkContext.broadcast(_frequent(digests))
@@ -570,11 +610,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = found.groupBy("a", "b").agg(F.max("star").alias("star"))
     sides = [nodes.select(F.col("k1").alias(x), F.col("class").alias(f"c{x}"), F.struct("n", *_WORDS).alias(f"s{x}")) for x in "ab"]
     found = found.join(sides[0], "a").join(sides[1], "b").where("ca <> cb")
-    found = found.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "star", F.expr(_sketch_allows("sa", "sb", num, den)).alias("able"))
+    found = found.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "star", F.expr(_sketch_allows("sa", "sb", num, den)).alias("able"), F.expr(f"least(sa.n, sb.n) > {64 * SKETCH}").alias("large"))
     found = materialise(found.where("star or able"), "candidates")
     release(spark)
 
-    able = found.where("able").select("a", "b")
+    # A short sketch says little of a large set.
+    wide = digests.where("wide is not null and id is not null").select("id", "n", "wide").dropDuplicates(["id"])
+    able = found.where("able and not large").select("a", "b").union(_allowed_by_wide(found.where("able and large").select("a", "b"), wide, num, den))
+    able = materialise(able, "able")
     near = materialise(_verify(able, known, width).where(f"shared * {den} >= (na + nb - shared) * {num}").select("a", "b"), "links")
     release(spark)
     labels = connected_components(near)
@@ -587,9 +630,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = materialise(groups.join(labelled.select("id", "label"), "id"), "stars")
     open_ = groups.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("a")
     torn = groups.join(open_, "a", "left_semi")
-    sketch = F.concat(*(F.to_binary(F.lpad(F.hex(w), 16, "0"), F.lit("hex")) for w in _WORDS))
-    torn = torn.join(sketches.select("id", "n", sketch.alias("sketch")), "id")
-    maybe = materialise(_each_cell(_cells(torn, ["a"], "n"), ["id", "label", "n", "sketch"], _possible(num, den), "a long, b long"), "possible")
+    torn = torn.join(sketches, "id").join(wide.select("id", "wide"), "id", "left").select("a", "id", "label", "n", F.array(*_WORDS).alias("sketch"), "wide")
+    maybe = materialise(_each_cell(_cells(torn, ["a"], "n", bands), ["id", "label", "n", "sketch", "wide"], _possible(num, den), "a long, b long"), "possible")
 
     # Components and what could join them are multiplied out: those of several labels, and for the links those of three sets or more.
     own = labelled.select("id", "label")
@@ -620,7 +662,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         counted = [F.when(has & F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")]
     named = materialise(named, "named")
     members = materialise(members.select("id", "n", "k1", "k2"), "members")
-    discard(digests, nodes, found, near, groups, maybe, whole, asked, solved)
+    discard(digests, nodes, found, able, near, groups, maybe, whole, asked, solved)
     return members.join(named, ["k1", "k2"], "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
