@@ -157,9 +157,13 @@ def as_long(x: np.ndarray) -> pa.Array:
 
 
 class Bands:
-    """Size bands of a threshold num / den and the first-level parts of each band's feature domain."""
+    """Size bands of a threshold num / den and the first-level parts of each band's feature domain.
 
-    def __init__(self, num: int, den: int, largest: int = 1 << 40):
+    There are `spread` times the parts that the differences need, so that a set
+    stays safe with some parts empty, of which its frequent features are missing.
+    """
+
+    def __init__(self, num: int, den: int, spread: float = 1.35, largest: int = 1 << 40):
         low = [1]
         while low[-1] <= largest:
             low.append(low[-1] * den // num + 1)
@@ -167,7 +171,7 @@ class Bands:
         high = self.low[1:] - 1
         #: Features in which two similar sets of a band differ at most, and the parts that this needs.
         self.apart = 2 * high * (den - num) // (den + num)
-        self.parts = self.apart // (LEAVE + 1) + 1
+        self.parts = (spread * (self.apart // (LEAVE + 1) + 1)).astype(np.int64) + 1
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, side="right") - 1
