@@ -7,8 +7,12 @@ without merging: an Aho-Corasick automaton gives the pieces that end at a
 place, longest first, and the first one compatible with the last piece of the
 prefix before it is stored. The ids follow backwards from the end.
 
-Words are encoded once per batch, many at a time in numpy; no piece crosses
-from a letter to a following blank, so a text's words are independent.
+Words, each with the blanks before it, are encoded once per batch, many at a
+time in numpy; no piece crosses from a letter to a following blank, so a
+text's words are independent. Decoding takes a whole text's ids.
+
+Models that normalise, drop blanks, put none first, are no BPE with byte
+fallback, or have pieces of the user or with a blank after a letter are refused.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +34,64 @@ BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Words kept between batches of a task.
 CACHE_WORDS = 400_000
-#: Words put through the table at once.
-TABLE_WORDS = 1 << 16
+#: Characters put through the table at once, one word at least.
+TABLE_CHARACTERS = 1 << 20
 _NONE = np.iinfo(np.int64).max
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a serialised message's fields; nested ones and fixed widths as bytes."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (message[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if message[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(message):
+        key, at = varint(at)
+        kind = key & 7
+        if kind == 0:
+            value, at = varint(at)
+            yield key >> 3, value
+            continue
+        size, at = varint(at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+def refuse(model: bytes) -> None:
+    """ValueError for a model that this codec would not encode as the library does.
+
+    Field numbers are those of the library's public model format.
+    """
+    whole = list(_fields(model))
+    trainer, normaliser = (dict(x) if (x := [f for k, v in whole if k == number for f in _fields(v)]) else {} for number in (2, 3))
+    kinds = [dict(_fields(v)).get(3, 1) for k, v in whole if k == 1]
+    problems = {
+        "it is no BPE model": trainer.get(3, 1) != 2,
+        "it has no byte fallback": not trainer.get(35, 0),
+        "its blanks are suffixes": bool(trainer.get(24, 0)),
+        "it normalises text": bool(normaliser.get(2, b"")),
+        "it puts no blank first": not normaliser.get(3, 1),
+        "it drops blanks": bool(normaliser.get(4, 1)),
+        "it leaves blanks unescaped": not normaliser.get(5, 1),
+        "it has pieces of the user": 4 in kinds,
+    }
+    if found := [text for text, bad in problems.items() if bad]:
+        raise ValueError(f"this model can't be used: {', '.join(found)}")
+
+
 class PieceCodec:
     """Encoder and decoder of a BPE model file with byte fallback and no normalisation."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
+        refuse(model)
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -54,10 +107,17 @@ class PieceCodec:
         rank = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {self.pieces[i]: rank[scores[i]] for i in plain}
         self._automaton()
-        self.words: dict[str, tuple[bytes, int, str]] = {}
+        #: What an id shows wherever it stands: all but the bytes of longer characters. And one object for each id.
+        self.shown = ["" if i in self.silent else p.replace(BLANK, " ") for i, p in enumerate(self.pieces)]
+        for i, b in self.bytes.items():
+            self.shown[i] = chr(b) if b < 128 else ""
+        self.parts = {i: b for i, b in self.bytes.items() if b >= 128}
+        self.shown[self.unknown] = " \u2047 "
+        self.own = list(range(n))
+        self.words: dict[str, tuple[bytes, list[int], bool]] = {}
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
-        """Pieces of text by merging, and the last merge's two sides: for the tables and for runs of blanks."""
+        """Pieces of text by merging, and the last merge's two sides: for making the tables from the pieces."""
         symbol: list[str | None] = list(text)
         before, after = list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
         heap = [(self.rank[text[i : i + 2]], i, text[i : i + 2]) for i in range(len(text) - 1) if text[i : i + 2] in self.rank]
@@ -80,7 +140,9 @@ class PieceCodec:
 
     def _automaton(self) -> None:
         """Tokens are the pieces that merging can make, in order of rank; 0 stands for any character that is no piece."""
-        made = [p for p in sorted(self.rank, key=lambda p: (self.rank[p], p)) if BLANK not in p[1:]]
+        made = sorted(self.rank, key=lambda p: (self.rank[p], p))
+        if any(BLANK in p.lstrip(BLANK) for p in made):
+            raise ValueError("this model can't be used: it has pieces with a blank after a letter")
         self.tokens: list[str] = [""]
         splits: list[tuple[str, str] | None] = [None]
         for p in made:
@@ -90,7 +152,6 @@ class PieceCodec:
                 splits.append(last)
         number = {p: i for i, p in enumerate(self.tokens)}
         n = len(self.tokens)
-        self.written = [b"", *(b"%d" % self.id_of[p] for p in self.tokens[1:])]
         self.length = np.array([1] + [len(p) for p in self.tokens[1:]], dtype=np.int64)
         self.left, self.right = np.arange(n), np.arange(n)
         self.order = np.zeros(n, dtype=np.int64)
@@ -172,81 +233,77 @@ class PieceCodec:
         return ok
 
     def _table(self, words: list[str]) -> list[list[int]]:
-        """Token numbers of each word, all of one length; -code point - 1 for a character that is no piece."""
-        size = len(words[0])
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), size).astype(np.int64)
-        code = self.code[points]
-        last = np.zeros((len(words), size + 1), dtype=np.int64)
-        state = np.zeros(len(words), dtype=np.int64)
-        for i in range(size):
-            state = self.step[state, code[:, i]].astype(np.int64)
+        """Token numbers of each word from its end; -code point - 1 for a character that is no piece. words: the longest first."""
+        n = len(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        start_of = np.cumsum(sizes) - sizes
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        code, single = self.code[points], self.single[points]
+        # last[base + i]: the last token of a word's first i characters.
+        base = start_of + np.arange(n)
+        last = np.zeros(len(points) + n, dtype=np.int64)
+        state = np.zeros(n, dtype=np.int64)
+        reach = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
+        for i, m in enumerate(reach.tolist()):
+            state = self.step[state[:m], code[start_of[:m] + i]].astype(np.int64)
             at = np.where(self.ends[state] > 0, state, self.next_end[state])
-            open_ = np.arange(len(words))
+            open_ = np.arange(m)
             # Every character is a token by itself, so the search ends; before it come the longer matches.
-            last[:, i + 1] = self.single[points[:, i]]
+            last[base[:m] + i + 1] = single[start_of[:m] + i]
             while len(open_):
                 token = self.ends[at[open_]].astype(np.int64)
                 open_, token = open_[token > 0], token[token > 0]
                 start = i + 1 - self.length[token]
-                fits = (start == 0) | self.compatible(last[open_, start], token)
-                last[open_[fits], i + 1] = token[fits]
+                fits = (start == 0) | self.compatible(last[base[open_] + start], token)
+                last[base[open_[fits]] + i + 1] = token[fits]
                 open_ = open_[~fits]
                 at[open_] = self.next_end[at[open_]]
         out: list[list[int]] = [[] for _ in words]
-        place = np.full(len(words), size)
-        live = np.arange(len(words))
+        place, live = sizes.copy(), np.arange(n)
         while len(live):
-            token = last[live, place[live]]
-            for w, t, p in zip(live.tolist(), token.tolist(), place[live].tolist(), strict=True):
-                out[w].append(t if t else -int(points[w, p - 1]) - 1)
+            token = last[base[live] + place[live]]
+            shown = np.where(token > 0, token, -points[start_of[live] + place[live] - 1] - 1)
+            for w, t in zip(live.tolist(), shown.tolist(), strict=True):
+                out[w].append(t)
             place[live] -= self.length[token]
             live = live[place[live] > 0]
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Put (ids as text, number of ids, decoded text) of each new word into self.words."""
+        """Put (ids as text, ids, whether bytes of longer characters are among them) of each new word into self.words."""
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in words if w in self.words}
-        by_size: dict[int, list[str]] = {}
-        for w in new:
-            if w[:2] == BLANK * 2 or len(w) > 64:
-                self.words[w] = self._entry([self.id_of.get(p, -ord(p) - 1 if len(p) == 1 else 0) for p in self.merge(w)[0]])
-            else:
-                by_size.setdefault(len(w), []).append(w)
-        for group in by_size.values():
-            for low in range(0, len(group), TABLE_WORDS):
-                part = group[low : low + TABLE_WORDS]
-                for w, tokens in zip(part, self._table(part), strict=True):
-                    if min(tokens) > 0:
-                        self.words[w] = b" ".join([self.written[t] for t in reversed(tokens)]), len(tokens), w.replace(BLANK, " ")
+        new.sort(key=len, reverse=True)
+        low = 0
+        while low < len(new):
+            high = low + max(1, TABLE_CHARACTERS // len(new[low]))
+            part = new[low:high]
+            for w, tokens in zip(part, self._table(part), strict=True):
+                ids, odd = [], min(tokens) < -128
+                for t in reversed(tokens):
+                    if t > 0:
+                        ids.append(self.own[self.id_of[self.tokens[t]]])
                     else:
-                        self.words[w] = self._entry([self.id_of[self.tokens[t]] if t > 0 else t for t in reversed(tokens)])
-
-    def _entry(self, ids: list[int]) -> tuple[bytes, int, str]:
-        out: list[int] = []
-        for i in ids:
-            out.extend([i] if i >= 0 else [self.byte_id[b] for b in chr(-i - 1).encode()])
-        return b" ".join(b"%d" % i for i in out), len(out), self._text(out)
-
-    def _text(self, ids: list[int]) -> str:
-        parts, held = [], bytearray()
-        for i in [*ids, -1]:
-            if i in self.bytes:
-                held.append(self.bytes[i])
-                continue
-            if held:
-                parts.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if i == self.unknown:
-                parts.append(" ⁇ ")
-            elif i >= 0 and i not in self.silent:
-                parts.append(self.pieces[i].replace(BLANK, " "))
-        return "".join(parts)
-
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids; the blank that encoding puts first goes."""
-        text = self._text(ids)
+                        ids.extend(self.byte_id[b] for b in chr(-t - 1).encode())
+                self.words[w] = b" ".join([b"%d" % i for i in ids]), ids, odd
+            low = high
+
+    def decode(self, ids: list[int], odd: bool = True) -> str:
+        """Text of ids; the blank that encoding puts first goes. odd: bytes of longer characters may be among them."""
+        if odd:
+            parts, held = [], bytearray()
+            for i in ids:
+                if i in self.parts:
+                    held.append(self.parts[i])
+                    continue
+                if held:
+                    parts.append(held.decode("utf-8", "replace"))
+                    held.clear()
+                parts.append(self.shown[i])
+            text = "".join([*parts, held.decode("utf-8", "replace")])
+        else:
+            text = "".join(map(self.shown.__getitem__, ids))
         first = next((i for i in ids if i not in self.silent), None)
         return text[1:] if first is not None and self.pieces[first].startswith(BLANK) else text
 
@@ -257,7 +314,7 @@ class PieceCodec:
         """Ids of text with the end id, as text encodes alone."""
         cut = self.chunks(text)
         self.learn(set(cut))
-        return [int(i) for c in cut for i in self.words[c][0].split()] + [self.end]
+        return [i for c in cut for i in self.words[c][1]] + [self.end]
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -268,7 +325,9 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
 
     model is a path of a BPE model file, read on the driver and sent to the
     executors (about 0.5 MB). A null text counts as empty and has the end id
-    alone. Repeated rows and null ids are kept; other columns are ignored.
+    alone. Very long texts and words are encoded whole; a task holds a slice of
+    some megabytes of text, one text at least. Repeated rows and null ids are
+    kept; other columns are ignored, and an empty table gives an empty result.
     """
     with open(model, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -289,12 +348,13 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
                 for cut in texts:
                     entries = [words[c] for c in cut]
                     line = b" ".join([e[0] for e in entries] + [b"%d" % codec.end])
-                    text = "".join([e[2] for e in entries])[1:]
-                    n.append(sum([e[1] for e in entries]) + 1)
+                    own = [*chain.from_iterable([e[1] for e in entries]), codec.end]
+                    text = codec.decode(own, any([e[2] for e in entries]))
+                    n.append(len(own))
                     digest.append(hashlib.sha256(line).hexdigest())
                     back.append(hashlib.sha256(text.encode()).hexdigest())
                     if ids:
-                        all_ids.append([int(i) for i in line.split()])
+                        all_ids.append(own)
                         all_text.append(text)
                 columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -254,6 +254,35 @@ def test_piece_codec(spark, odd, rows):
         assert ids == [*sp.encode(t), sp.eos_id()] and own.decode(ids) == sp.decode(ids)
 
 
+def test_piece_codec_decodes_what_it_encoded(spark, rows):
+    """A wrong id shows in the decoded text, long words and runs of blanks go through the table, and other models are refused."""
+    import sentencepiece
+
+    from barlight.llm.piece_codec import refuse
+
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    sp, own = sentencepiece.SentencePieceProcessor(model_proto=model), PieceCodec(model)
+    text = next(t for _, t in rows if t and len(t) > 200)
+    ids = own.encode(text)
+    assert own.decode(ids) == text == own.decode(ids, odd=False) and own.decode([*ids[:5], ids[5] + 1, *ids[6:]]) != text
+    word = own.chunks(text)[3]
+    right = own.words[word]
+    own.words[word] = (right[0], [right[1][0] + 1, *right[1][1:]], right[2])
+    assert own.decode(own.encode(text)) != text
+    own.words[word] = right
+    rng = np.random.default_rng(8)
+    letters = "".join(t for _, t in rows[:50] if t).replace(" ", "").replace("\n", "")
+    for t in ["x" * 1000, letters[:5000], "  " * 40 + "a" + " " * 7, "日本語" * 300, " \t " * 20, "\u2047 \ufffd"] + [" ".join(letters[i : i + 90] + " " * int(k) for i, k in zip(rng.integers(0, 5000, 4), rng.integers(0, 9, 4), strict=True)) for _ in range(50)]:
+        ids = own.encode(t)
+        assert ids == [*sp.encode(t), sp.eos_id()] and own.decode(ids) == sp.decode(ids)
+    assert piece_codec(spark.createDataFrame([], "doc_id long, text string"), P.path("piece_bpe_32k.model")).count() == 0
+    # No BPE; a piece of the user; blanks dropped.
+    for other in (b"", model + b"\x0a\x05\x0a\x01x\x18\x04", model + b"\x1a\x02\x20\x01"):
+        with pytest.raises(ValueError, match="can't be used"):
+            refuse(other)
+
+
 def test_token_counts(spark, odd, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
