@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barlight.llm import queries as Q
 from barlight.llm.decontaminate import contamination, decontaminate, proximity_matches
@@ -311,10 +312,65 @@ def test_lm(spark, odd, docs, rows):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(x in c for x in t), total)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (total + 0.1 * (kinds + 1))) for x in t))
         assert math.isfinite(r.score) and r.score < 0
-    assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
+    gain = [sum(getattr(r, x) for r in out if r.held_out) / sum(r.n_tokens for r in out if r.held_out) for x in ("score", "base_score")]
+    assert gain[0] > gain[1] + 0.1
     assert maxent_scores(odd).count() == len(ROWS) and maxent_scores(empty(odd)).count() == 0
 
 
+def test_lm_is_the_same_however_rows_are_dealt(spark, docs):
+    """Other partitions, other orders and no broadcast joins, as on a cluster."""
+    first = {r.doc_id: r for r in maxent_scores(docs).collect()}
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = maxent_scores(docs.repartition(5, "lang", "doc_id")).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(again) == len(first) and all(r.score == pytest.approx(first[r.doc_id].score, rel=1e-9) for r in again)
+
+
+def test_lm_against_brute_force(spark, docs):
+    """Scores by loops over plain numbers, and the chances of all words after two given ones, which add up to 1 with the unseen."""
+    from barlight.llm import maxent_lm as M
+
+    texts, shape = M._joined(docs.limit(60), None, "doc_id", "text")
+    weights = M._fit(texts, shape, M.RATES)
+    own = {r.doc_id: r.score for r in maxent_scores(docs.limit(60)).collect()}
+
+    def softmax(w, rows):
+        e = [math.exp(sum(float(w[r, c]) for r in rows)) for c in range(w.shape[1])]
+        return [x / sum(e) for x in e]
+
+    checked = 0
+    for row in texts.collect():
+        text = M.Text(row.asDict(), shape)
+        layers = text.layers(np.arange(len(text.count)))
+        edge = np.concatenate([[0], np.cumsum(text.lens)])
+        for i, a, b in zip(row.ids, edge[:-1], edge[1:], strict=True):
+            if checked < 4 and b - a < 400:
+                want = 0.0
+                for t in range(a, b):
+                    c, k = int(text.kind[t]), int(text.branch[t])
+                    want += math.log10(softmax(weights[0], layers[0][0][t])[c] * softmax(weights[1], layers[1][0][t])[k] * (int(text.count[t]) + 0.1) / shape.mass[c, k])
+                assert own[i] == pytest.approx(want, rel=1e-4)
+                checked += 1
+    assert checked == 4
+    # Every word of the training texts once after the same two words.
+    known = sorted({w for r in docs.limit(60).collect() for w in words(r.text)})
+    more = docs.limit(60).select("doc_id", "text").union(spark.createDataFrame([(10**6, " ".join(known))], "doc_id long, text string"))
+    texts, shape = M._joined(more, F.col("doc_id") >= 10**6, "doc_id", "text")
+    row = next(r for r in texts.collect() if 10**6 in r.ids).asDict()
+    text = M.Text(row, shape)
+    mine = slice(int(np.cumsum(text.lens)[row["ids"].index(10**6)] - len(known) - 1), None)
+    # All as if in the first one's place. Branches without a word keep a little.
+    for g in text.given:
+        g[mine] = g[mine][0]
+    chance = 10 ** M.log_chances(text, M._fit(texts, shape, M.RATES))[mine]
+    assert len(chance) == len(known) + 1 and 0.95 < chance.sum() <= 1 + 1e-6
+
+
 def test_contamination(spark, odd, docs, rows):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     table = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
