@@ -1,12 +1,12 @@
-"""Operator 3: license scans by word k-gram fingerprints and banded alignment.
-
-Every word k-gram of a template goes into an inverted index of bounded size,
-and every one of a document is looked up: winnowing would promise a hit only
-for a longer unbroken run than matches of the least coverage need to have. A
-template's k is the largest of which some k-gram outlasts as many changed or
-missing words as that coverage allows. A hit names a template and a diagonal;
-the words around that diagonal are aligned with the template in a band, which
-gives the matched share of the template and the span of the match.
+"""Operator 3: license scans by winnowed fingerprints and banded alignment.
+
+Of every template, winnowing picks word k-grams into an inverted index: one at
+least of any `window` grams that follow each other. Every k-gram of a document
+is looked up, so an unbroken run of window + k - 1 template words is always
+found, and both are chosen so that a match of the least coverage must have such
+a run. A hit names a template and a diagonal; the words around that diagonal
+are aligned with the template in a band, which gives the matched share of the
+template and the span of the match.
 """
 
 from __future__ import annotations
@@ -16,22 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import ALL
 from .words import LOWER, hash_words, mix, separator_table, slices, text_bytes, word_spans
 
+#: Largest k, and words by which a match may shift at least; long templates allow as many as they may lose.
 GRAM, BAND = 3, 6
 _SEPARATORS = separator_table([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
-#: Short notices of common public licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
-
-
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     data = LOWER[data]
@@ -46,27 +37,50 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _gram_size(words: int, least: float) -> int:
-    """Largest size up to GRAM of which one gram at least is whole when the template's unmatched words break all they can."""
-    lost = words - next((n for n in range(1, words + 1) if n >= least * words), words)
-    return next((k for k in range(min(GRAM, words), 1, -1) if words - k + 1 > k * lost), 1)
+def lost_words(words: int, least: float) -> int:
+    """Template words that a match of the least coverage may leave unmatched."""
+    return words - next((n for n in range(1, words + 1) if n >= least * words), words)
+
+
+def fingerprints(words: np.ndarray, least: float) -> tuple[int, list[tuple[int, int]]]:
+    """k, and (hash, place) of the k-grams of a template that winnowing picks.
+
+    The words that match stand in one run more than words are lost, at most,
+    so the longest run has `run` words or more: run - k + 1 grams in a row.
+    """
+    lost = lost_words(len(words), least)
+    run = max(1, -(-(len(words) - lost) // (lost + 1)))
+    k = min(GRAM, run)
+    grams, window = _grams(words, k), run - k + 1
+    picked = {at + int(part.argmin()) for at in range(max(1, len(grams) - window + 1)) if len(part := grams[at : at + window])}
+    return k, [(int(grams[i]), i) for i in sorted(picked)]
 
 
-def align(text: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Most template words matched in order by text near the diagonal, and the span [first, last] of such a match."""
-    best: dict[int, tuple[int, int, int]] = {}
-    for i, word in enumerate(template.tolist()):
-        row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, diagonal + i - BAND), min(len(text), diagonal + i + BAND + 1)):
-            options = [x for x in (best.get(j), row.get(j - 1)) if x]
-            if int(text[j]) == word:
-                before = best.get(j - 1)
-                options.append((before[0] + 1, before[1], j) if before and before[0] else (1, j, j))
-            if options:
-                # More words first, then the shorter span.
-                row[j] = max(options, key=lambda x: (x[0], x[1] - x[2]))
-        best = {**{j: x for j, x in best.items() if j >= diagonal + i - BAND}, **row}
-    return max(best.values(), key=lambda x: (x[0], x[1] - x[2]), default=(0, 0, -1))
+def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+    """Most template words matched in order by text within the band of the diagonal, and the span [first, last] of such a match.
+
+    A cell holds the number of words and the place of the first one in a
+    number, so that of equally many words the later start counts as more.
+    """
+    low, high = max(0, diagonal - band), min(len(text), diagonal + len(template) + band)
+    mine, unit = text[low:high], np.int64(1) << np.int64(40)
+    place = np.arange(low, high, dtype=np.int64)
+    best = np.zeros(len(mine) + 1, dtype=np.int64)
+    for i, word in enumerate(template):
+        a, b = max(0, diagonal + i - band - low), diagonal + i + band + 1 - low
+        at = np.flatnonzero(mine[a : max(a, b)] == word) + a
+        if len(at):
+            # best[j + 1] is that of text up to place j.
+            row = best.copy()
+            row[at + 1] = np.maximum(row[at + 1], np.where(best[at] > 0, best[at], place[at]) + unit)
+            best = np.maximum.accumulate(row)
+    words = best[1:] // unit
+    if not len(words) or not words.max():
+        return 0, 0, -1
+    last = np.flatnonzero(words == words.max())
+    start = best[1:][last] % unit
+    pick = int((start - last).argmax())
+    return int(words.max()), int(start[pick]), int(last[pick] + low)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,19 +89,21 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in
     lower case; end places are exclusive. A document gives as many rows as it
     has matches that do not overlap for one template, best first, so a null or
-    empty text gives none. Repeated rows give repeated matches, and null ids
-    are kept. A match is found if changed, missing and inserted words together
+    empty text gives none, and an empty table an empty result. Very long texts
+    are searched whole. Repeated rows give repeated matches, null ids are kept,
+    and templates that tie all give their rows. A match is found if changed, missing and inserted words together
     are no more than the template words that the coverage lets go unmatched and
-    shift words by no more than BAND; with
-    more inserted words, if one of its k-grams is whole.
+    shift words by no more than BAND or as many as the template may lose; with
+    more inserted words, if one of its fingerprints is whole.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = ALL if templates is None else templates
     names = sorted(templates)
     sequences = [_words(pa.array([templates[n]]))[0] for n in names]
-    sizes = [_gram_size(len(s), least) for s in sequences]
+    marked = [fingerprints(x, least) for x in sequences]
+    bands = [max(BAND, lost_words(len(x), least)) for x in sequences]
     indexes = []
-    for size in sorted(set(sizes)):
-        marks = sorted((int(h), t, p) for t, s in enumerate(sequences) if sizes[t] == size for p, h in enumerate(_grams(s, size)))
+    for size in sorted({k for k, _ in marked}):
+        marks = sorted((h, t, p) for t, (k, own) in enumerate(marked) if k == size for h, p in own)
         if marks:
             indexes.append((size, np.array([m[0] for m in marks], dtype=np.uint64), np.array([m[1] for m in marks], dtype=np.int64), np.array([m[2] for m in marks], dtype=np.int64)))
     id_type = dict(docs.dtypes)[id_col]
@@ -114,7 +130,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                     mine = words[rows[r] : rows[r + 1]]
                     found = []
                     for t, diagonal in seen:
-                        n, a, b = align(mine, sequences[t], diagonal)
+                        n, a, b = align(mine, sequences[t], diagonal, bands[t])
                         if n and n >= least * len(sequences[t]):
                             found.append((n / len(sequences[t]), n, t, a, b + 1))
                     taken: list[tuple[int, int, int]] = []

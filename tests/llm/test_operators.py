@@ -218,21 +218,62 @@ def test_license_scan_finds_all_matches_of_the_coverage(spark):
     """Every set of changed or missing words that leaves the coverage, wherever they are."""
     from itertools import combinations
 
-    from barlight.llm.license_scan import TEMPLATES
+    from barlight.llm.license_texts import NOTICES
 
+    templates = {**NOTICES, "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"}
     made, want = [], set()
     for name in ("Apache-2.0", "MIT", "CC-BY-NC-4.0", "MIT-text"):
-        w = words(TEMPLATES[name], r"[a-zA-Z0-9]+")
+        w = words(templates[name], r"[a-zA-Z0-9]+")
         for gone in combinations(range(len(w)), len(w) // 5):
             for put in (["zzz"], []):
                 text = ["x1", "x2", *[y for k, x in enumerate(w) for y in (put if k in gone else [x])], "x3"]
                 if len(made) < 1000:
                     want.add((len(made), name))
                     made.append((len(made), " ".join(text)))
-    found = {(r.doc_id, r.license) for r in license_scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    found = {(r.doc_id, r.license) for r in license_scan(spark.createDataFrame(made, "doc_id long, text string"), templates).collect()}
     assert want <= found
 
 
+def test_license_scan_against_alignment_at_every_diagonal(spark):
+    """Whole texts and headers with random changes: recall and coverage against a plain alignment of the whole text."""
+    from barlight.llm.license_scan import license_scan as scan
+    from barlight.llm.license_texts import ALL
+
+    rng = np.random.default_rng(12)
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    made, want = [], {}
+    for name, text in sorted(ALL.items()):
+        w = words(text, pattern)
+        for part in (0.0, 0.05, 0.12, 0.19):
+            own = [*w]
+            for p in rng.choice(len(w), int(part * len(w)), replace=False):
+                own[p] = "" if rng.random() < 0.3 else f"zz{p}"
+            t = " ".join([*(f"q{k}" for k in range(20)), *own, *(f"r{k}" for k in range(20))])
+            want[(len(made), name)] = common(w, words(t, pattern))
+            made.append((len(made), t))
+    found = {}
+    for r in scan(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        found[(r.doc_id, r.license)] = max(r.n_matched, found.get((r.doc_id, r.license), 0))
+    assert all(want[k] >= 0.8 * len(words(ALL[k[1]], pattern)) for k in want)
+    assert {k: found.get(k) for k in want} == want
+
+
+def test_license_templates_that_tie_and_awkward_rows(spark, odd):
+    same = {"b": "one two three four five six", "a": "one two three four five six"}
+    df = spark.createDataFrame([(1, "x one two three four five six", 5), (1, "x one two three four five six", 5), (None, "one two three four five six", 6), (2, None, 7), (3, "w " * 50_000 + "one two three four five six", 8)], "doc_id long, text string, coverage int")
+    got = sorted(((r.doc_id or 0, r.license, r.start_word) for r in license_scan(df, same).collect()))
+    assert got == [(0, "a", 0), (0, "b", 0), (1, "a", 1), (1, "a", 1), (1, "b", 1), (1, "b", 1), (3, "a", 50_000), (3, "b", 50_000)]
+
+
 def test_piece_codec(spark, odd, rows):
     import sentencepiece
 
