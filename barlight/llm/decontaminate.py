@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitfilter import bit_filter, may_contain
-from .store import materialise
+from .store import free_name, materialise
 
 #: Words of a phrase whose postings are intersected.
 ANCHORS = 3
@@ -121,5 +121,6 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """docs without the contaminated ones; rows with a null id stay."""
-    bad = contamination(docs, items, id_col, **options).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__id"), "left_anti")
+    key = free_name(docs, "contaminated_id")
+    bad = contamination(docs, items, id_col, **options).where("contaminated and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, F.col(id_col) == F.col(key), "left_anti")

@@ -7,7 +7,9 @@ member of it. As all members of all lines would be as many rows as there are
 words, a first join uses the neighbourhood of the line's ends only: whatever
 single word differs, either the first or the last END words are untouched and
 the other end agrees up to one deletion. Lines that share an end key with
-another line, which few do, then emit their whole neighbourhood.
+another line, which few do, then emit their whole neighbourhood. Every line
+that is not blank is compared for equality, lines of min_words words or more
+also for one word's difference: in five words that leaves a similarity of 0.8.
 """
 
 from __future__ import annotations
@@ -16,17 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitfilter import bit_filter, may_contain
-from .store import materialise, release
+from .store import free_name, materialise, release
 
 #: Words kept from each end of a line for the first join.
 END = 3
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, at, line, n, h1, h2) of every line of min_words words or more; null ids and texts have none."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, at, line, n, h1, h2) of every line but blank ones; null ids and texts have none."""
     lines = docs.where("id is not null").select("id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     lines = lines.select("id", "at", F.trim("raw").alias("line"))
-    lines = lines.select("id", "at", "line", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n")).where(F.col("n") >= min_words)
+    lines = lines.select("id", "at", "line", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n")).where("line <> ''")
     return lines.select("id", "at", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
@@ -67,14 +69,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Earlier is by (doc_id, line number); line numbers count from 0. A near
     line names the earliest line near to it, kept or not. Lines of fewer than
-    min_words words are left alone. Blanks at a line's ends do not count. A
-    null text has no lines, and a row with a null id takes no part. Repeated
-    rows of an id give the same line again and are one line here.
+    min_words words, which blanks (U+0020) separate, are dropped as exact
+    copies only. Blanks at a line's ends do not count, and lines without more
+    are left alone. A null text has no lines, and a row with a null id takes no
+    part. Repeated rows of an id give the same line again and are one line
+    here. Very long texts and lines are compared whole; an empty table gives an
+    empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lines = _lines(docs, min_words)
+    lines = _lines(docs)
     ended = lines.select("*", F.substring_index("line", " ", END).alias("head"), F.substring_index("line", " ", -END).alias("tail"))
-    keyed = materialise(ended.select("id", "at", "h1", "h2", F.expr(_ends()).alias("ends")), "lines")
+    keyed = materialise(ended.select("id", "at", "h1", "h2", F.when(F.col("n") >= min_words, F.expr(_ends())).alias("ends")), "lines")
     firsts = materialise(keyed.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first")), "firsts")
     release(docs.sparkSession)
 
@@ -133,9 +138,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents without dropped lines, and rows with a null id or text, stay as they are.
     """
-    per = _per_document(dropped_lines(docs, id_col, text_col, min_words)).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(per, F.col(id_col) == F.col("__id"), "left")
-    rest = F.expr(f"filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(__dropped, i))")
-    joined = joined.withColumn("__rest", F.when(F.col("__dropped").isNotNull(), rest)).where("__rest is null or size(__rest) > 0")
-    text = F.when(F.col("__rest").isNull(), F.col(text_col)).otherwise(F.array_join("__rest", "\n"))
+    key, dropped, rest = (free_name(docs, x) for x in ("dropped_of", "dropped_lines", "lines_left"))
+    per = _per_document(dropped_lines(docs, id_col, text_col, min_words)).select(F.col("doc_id").alias(key), F.col("dropped").alias(dropped))
+    joined = docs.join(per, F.col(id_col) == F.col(key), "left")
+    left = F.expr(f"filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains({dropped}, i))")
+    joined = joined.withColumn(rest, F.when(F.col(dropped).isNotNull(), left)).where(f"{rest} is null or size({rest}) > 0")
+    text = F.when(F.col(rest).isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
     return joined.withColumn(text_col, text).select(docs.columns)

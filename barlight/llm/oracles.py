@@ -84,21 +84,23 @@ SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
 FROM firsts
 """
 
-#: Line report: exact repeats by text, near ones by one replaced, added or missing word through the shared deletion variants.
+#: Line report: exact repeats by text, near ones of five words or more by one replaced, added or missing word through the shared deletion variants.
 LINE_REPORT = r"""
 WITH cut AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
 ), lines AS (
   SELECT DISTINCT doc_id, i - 1 AS pos, trim(ls[i], ' ') AS line
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM cut)
-  WHERE doc_id IS NOT NULL AND len(string_split(trim(ls[i], ' '), ' ')) >= 5
+  WHERE doc_id IS NOT NULL AND trim(ls[i], ' ') <> ''
 ), texts AS (
   SELECT line, min({'d': doc_id, 'pos': pos}) AS first, string_split(line, ' ') AS w FROM lines GROUP BY line
+), compared AS (
+  SELECT * FROM texts WHERE len(w) >= 5
 ), variants AS (
-  SELECT line, first, len(w) AS n, 0 AS gone, array_to_string(w, ' ') AS k FROM texts
+  SELECT line, first, len(w) AS n, 0 AS gone, array_to_string(w, ' ') AS k FROM compared
   UNION ALL
   SELECT line, first, n, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ')
-  FROM (SELECT line, first, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM texts)
+  FROM (SELECT line, first, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM compared)
 ), near AS (
   SELECT a.first AS first
   FROM variants a JOIN variants b ON a.k = b.k AND b.first < a.first AND a.line <> b.line

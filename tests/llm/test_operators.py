@@ -466,7 +466,7 @@ def test_warc(spark, tmp_path):
 
 
 def lines_of(rows):
-    return sorted({(i, k, x.strip(" ")) for i, t in rows if i is not None and t is not None for k, x in enumerate(t.split("\n")) if x.strip(" ").count(" ") >= 4})
+    return sorted({(i, k, x.strip(" ")) for i, t in rows if i is not None and t is not None for k, x in enumerate(t.split("\n")) if x.strip(" ")})
 
 
 def drops(rows):
@@ -477,9 +477,8 @@ def drops(rows):
     out = {(i, k, "exact", *first[x]) for i, k, x in listed if first[x] != (i, k)}
     for x, f in first.items():
         a, best = x.split(" "), None
-        for y, g in first.items():
-            if g < f and y != x:
-                b = y.split(" ")
+        for y, g in first.items() if len(a) >= 5 else ():
+            if g < f and y != x and len(b := y.split(" ")) >= 5:
                 if len(a) == len(b) and sum(p != q for p, q in zip(a, b)) == 1 or abs(len(a) - len(b)) == 1 and any(s[:j] + s[j + 1 :] == t for s, t in [(a, b) if len(a) > len(b) else (b, a)] for j in range(len(s))):
                     best = min(best or g, g)
         if best:
@@ -494,6 +493,11 @@ def test_line_dedup(spark, odd, docs, rows):
     made += [(100 + n, " ".join(f"s{k}" for k in range(n))) for n in range(5, 12)] + [(200, near + "\n" + near + "\nshort one"), (201, None), (202, " ".join(["same"] * 7)), (203, " ".join(["same"] * 8)), (204, near)]
     for df, source in ((spark.createDataFrame(made, "doc_id long, text string"), made), (odd, ROWS), (docs.limit(60), [tuple(r) for r in docs.limit(60).select("doc_id", "text").collect()])):
         assert {tuple(r) for r in dropped_lines(df).collect()} == drops(source)
+    # Short lines are dropped as copies, but one word's difference is too much of them; blank lines stay.
+    short = [(1, "All rights reserved.\n\n日本語\none two three four"), (2, "All rights reserved.\n \n日本語 \none two three five"), (3, "All rights kept.")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in short], "doc_id long, text string, dropped_of string, lines_left string")
+    assert {tuple(r) for r in dropped_lines(df).collect()} == drops(short) == {(2, 0, "exact", 1, 0), (2, 2, "exact", 1, 2)}
+    assert sorted((r.doc_id, r.text, r.lines_left) for r in line_dedup(df).collect()) == [(1, short[0][1], "y"), (2, " \none two three five", "y"), (3, short[2][1], "y")]
     kept = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert kept[200] == "short one" and 204 not in kept and 201 in kept and kept[1] == near
     assert line_report(empty(odd)).count() == 0 and line_report(odd).count() == len(ROWS) and line_dedup(odd).columns == odd.columns
