@@ -6,7 +6,9 @@ distances. Data and queries go to their nearest pivot. A query group's kNN
 distance is bounded from above by the summaries of the cells (the distances of
 their points nearest to the pivot), a data point's distance to the group from
 below by the triangle inequality; a point is sent only to groups that these
-bounds leave open, and each group is solved locally, in parts.
+bounds leave open, and each group is solved locally, in parts. Groups whose
+bounds leave much open are solved together, so that a point goes to that one
+group and, in sum, to no more than twice as many others as there are points.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 
 from .store import materialise, shuffle_partitions
 
-#: Pivots at most, queries of a group solved together, data vectors of a part on average.
+#: Pivots at most, vectors of a cell on average below that, queries of a group solved together, data vectors of a part on average.
 PIVOTS = 64
-QUERY_BLOCK = 4096
+CELL_ROWS = 64
+QUERY_BLOCK = 16_384
 PART_ROWS = 100_000
 
 
@@ -98,11 +101,47 @@ def _solver(dim: int, k: int):
     return solve
 
 
+def least_distances(apart: np.ndarray, near: dict[int, list[float]], far: dict[int, float], k: int, slack: float) -> np.ndarray:
+    """Of each query group and data cell: points of the cell nearer to its pivot than this are needed by no query of the group.
+
+    apart: distances of the pivots; near: of each cell the smallest distances
+    of its points to the pivot, k + 1 at most; far: of each group the largest
+    distance of a query to the pivot, negative without queries. A query's own
+    vector may be among the k + 1 points that bound its k nearest.
+    """
+    needed = np.full(apart.shape, np.inf)
+    for g in range(len(apart)):
+        if far.get(g, -1) < 0:
+            continue
+        above = sorted(far[g] + apart[g, c] + d for c in range(len(apart)) for d in near.get(c, ()))
+        theta = above[k] if len(above) > k else np.inf
+        needed[g] = apart[g] - far[g] - theta - slack
+    return needed
+
+
+def merged_groups(needed: np.ndarray, size: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group that each one is solved in, and the least distances of these.
+
+    size and wide: points of each cell, and the largest distance of one to the
+    pivot. A group that needs more than its share of twice all points is merged
+    with all others that do; the bound of these is the smallest of theirs.
+    """
+    cost = (size[None] * (wide[None] >= needed)).sum(1)
+    into = np.arange(len(needed))
+    rest = np.flatnonzero(cost * len(needed) > 2 * size.sum())
+    out = needed.copy()
+    if len(rest):
+        into[rest] = rest[0]
+        out[rest] = np.inf
+        out[rest[0]] = needed[rest].min(0)
+    return into, out
+
+
 def _search(data: DataFrame, dim: int, k: int, modulus: int) -> DataFrame:
     spark = data.sparkSession
     is_query = F.pmod("id", F.lit(modulus)) == 0
     n, asked = data.agg(F.count("*"), F.count_if(is_query)).first()
-    count = max(1, min(PIVOTS, asked // 256))
+    count = max(1, min(PIVOTS, n // CELL_ROWS))
     picked = data.orderBy(F.xxhash64("id"), "id").limit(count).select("v").toArrow()
     pivots = _matrix(picked.column("v").to_pylist(), dim)
 
@@ -118,33 +157,29 @@ def _search(data: DataFrame, dim: int, k: int, modulus: int) -> DataFrame:
     slack = 1e-6 * (np.sqrt(most) + 1)
 
     def summaries(batches):
-        """Of each cell: the k + 1 smallest distances of data; of each group: the largest distance of a query."""
-        near, far = [[] for _ in range(count)], np.full(count, -1.0)
+        """Of each cell: the k + 1 smallest distances of data, their largest and their number; of each group: the largest distance of a query."""
+        near, far, wide, size = [[] for _ in range(count)], np.full(count, -1.0), np.full(count, -1.0), np.zeros(count, np.int64)
         for batch in batches:
             x, ids = _matrix(batch.column("v").to_pylist(), dim), np.asarray(batch.column("id"))
             if not len(x):
                 continue
             d = _distances(x, fill_of(x), pivots, pivot_fill)
             cell = d.argmin(1)
+            np.maximum.at(wide, cell, d.min(1))
+            size += np.bincount(cell, minlength=count)
             for c in range(count):
                 near[c] = sorted([*near[c], *np.sort(d[cell == c, c])[: k + 1].tolist()])[: k + 1]
             q = x[ids % modulus == 0]
             if len(q):
                 d = _distances(q, np.zeros(len(q)), pivots, pivot_fill)
                 np.maximum.at(far, d.argmin(1), d.min(1))
-        yield pa.RecordBatch.from_arrays([pa.array(range(count), pa.int32()), pa.array(near, pa.list_(pa.float64())), pa.array(far)], ["cell", "near", "far"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(count), pa.int32()), pa.array(near, pa.list_(pa.float64())), pa.array(far), pa.array(wide), pa.array(size)], ["cell", "near", "far", "wide", "size"])
 
-    rows = data.mapInArrow(summaries, "cell int, near array<double>, far double")
-    table = rows.groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"), F.max("far").alias("far")).collect()
+    rows = data.mapInArrow(summaries, "cell int, near array<double>, far double, wide double, size long")
+    table = rows.groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"), F.max("far").alias("far"), F.max("wide").alias("wide"), F.sum("size").alias("size")).orderBy("cell").collect()
     near, far = {r.cell: r.near for r in table}, {r.cell: r.far for r in table}
-    apart = _distances(pivots, pivot_fill, pivots, pivot_fill)
-    needed = np.full((count, count), np.inf)
-    for g in range(count):
-        if far.get(g, -1) < 0:
-            continue
-        above = sorted(far[g] + apart[g, c] + d for c in range(count) for d in near.get(c, ()))
-        theta = above[k] if len(above) > k else np.inf
-        needed[g] = apart[g] - far[g] - theta - slack
+    needed = least_distances(_distances(pivots, pivot_fill, pivots, pivot_fill), near, far, k, slack)
+    into, needed = merged_groups(needed, np.array([r["size"] for r in table]), np.array([r.wide for r in table]))
     parts = max(shuffle_partitions(spark), -(-n // PART_ROWS))
     blocks = max(1, -(-asked // QUERY_BLOCK))
 
@@ -156,9 +191,9 @@ def _search(data: DataFrame, dim: int, k: int, modulus: int) -> DataFrame:
                 d = _distances(x, fill_of(x), pivots, pivot_fill)
                 cell, nearest = d.argmin(1), d.min(1)
                 part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
-                mine = _distances(x, np.zeros(len(x)), pivots, pivot_fill).argmin(1)
+                mine = into[_distances(x, np.zeros(len(x)), pivots, pivot_fill).argmin(1)]
                 block = (ids // modulus) % blocks
-                for g in range(count):
+                for g in np.unique(into).tolist():
                     open_ = nearest >= needed[g, cell]
                     for p in np.unique(part[open_]):
                         m = open_ & (part == p)
@@ -184,7 +219,8 @@ def top_k_search(embeddings: DataFrame, k: int = 5, modulus: int = 50, scale: in
     Null vectors, empty ones, those with a null or non-finite component and
     rows with a null id take no part. Vectors of different lengths are not
     compared. Repeated rows of an id count once; of different vectors of an id
-    the shortest is taken, then the one whose bytes are least.
+    the shortest is taken, then the one whose bytes are least. Other columns are
+    ignored; an empty table gives an empty result.
     """
     # Every cap and bound below counts rows, so an id must have one.
     once = _quantised(embeddings, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x"))

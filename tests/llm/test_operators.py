@@ -204,6 +204,48 @@ def test_top_k_counts_repeated_rows_once(spark):
     assert sorted(map(tuple, top_k_search(df).collect())) == want
 
 
+def clusters(seed, many, each, dims=6):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(0, 1, (many, dims))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    x = np.repeat(middle, each, axis=0) + rng.normal(0, 0.002, (many * each, dims))
+    return x[rng.permutation(len(x))] * 2
+
+
+def test_top_k_of_clusters_prunes_and_stays_exact(spark, monkeypatch):
+    """Several pivots and cells: what the bounds close holds no neighbour, and a bound that closes more loses some."""
+    from barlight.llm import voronoi_knn as V
+
+    x = clusters(1, 12, 70)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    q = np.floor(256 * x).astype(int)
+    want = sorted((a, k + 1, i, s) for a in range(0, len(x), 50) for k, (s, i) in enumerate([(-t[0], t[1]) for t in sorted((-int(q[a] @ q[i]), i) for i in range(len(x)) if i != a)[:5]]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "0 as id", "'z' as v", "1 as query")
+    seen, real = [], V.least_distances
+
+    def watched(apart, near, far, k, slack):
+        out = real(apart, near, far, k, slack)
+        seen.append((out, near, far))
+        return out
+
+    monkeypatch.setattr(V, "least_distances", watched)
+    assert sorted(map(tuple, V.top_k_search(df).collect())) == want
+    needed, near, far = seen[0]
+    asked = [g for g in range(len(needed)) if far.get(g, -1) >= 0]
+    # Cells of other clusters are closed: no point of them is as far from its pivot as would be needed.
+    assert len(needed) == len(x) // V.CELL_ROWS and sum(needed[g, c] > max(near.get(c) or [0]) * 4 + 1 for g in asked for c in range(len(needed))) > len(asked) * len(needed) / 4
+    monkeypatch.setattr(V, "least_distances", lambda *a: np.maximum(real(*a), 0) + 10**6)
+    assert sorted(map(tuple, V.top_k_search(df).collect())) != want
+
+
+def test_groups_that_leave_much_open_are_merged():
+    from barlight.llm.voronoi_knn import merged_groups
+
+    needed = np.array([[0.0, 9, 9, 9], [9, 0, 9, 9], [0, 0, 0, 5], [0, 0, 4, 0]])
+    into, out = merged_groups(needed, np.array([10, 10, 10, 10]), np.full(4, 3.0))
+    assert into.tolist() == [0, 1, 2, 2] and out[2].tolist() == [0, 0, 0, 0] and out[0].tolist() == needed[0].tolist() and np.isinf(out[3]).all()
+
+
 def test_license_scan(spark, odd):
     filler = " ".join(f"f{i}" for i in range(30))
     notice = "Licensed under the Apache License, Version 2.0."
