@@ -3,7 +3,8 @@
 Every word has a label. A word's potentials come from hashed character n-grams
 with its borders marked (so affixes are among them) and from a lexicon of the
 sample's words; transitions are learned with them by the gradient of the
-sequences' likelihood. Forward-backward over a whole text gives each word's
+sequences' likelihood. A share of the training sequences is spliced from pieces
+of several texts, so that transitions see languages change. Forward-backward over a whole text gives each word's
 label probabilities, also where languages change within it; a text's language
 is the one with the most expected words.
 """
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .words import LOWER, WHITE, hash_words, mix, slices, text_bytes, word_spans
 
-#: Documents of each language that are learned from, at most; chosen by a hash of their id among all that may be.
-SAMPLE_DOCS = 120
+#: Documents of each language that are learned from, and bytes of their texts, at most; chosen by a hash of their id among all that may be.
+SAMPLE_DOCS, SAMPLE_BYTES = 120, 1 << 20
 #: Rows of the n-gram and of the lexicon weights.
 NGRAM_ROWS, WORD_ROWS = 1 << 16, 1 << 15
 GRAMS = (2, 3, 4)
 EPOCHS, SEQUENCE = 8, 64
+#: Words of a spliced piece, least and most, and the pieces of which one in so many is spliced.
+PIECE, SPLICED = (8, 40), 4
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that start or continue a letter in the features (a-z and all non-ASCII bytes).
 _LETTER_BYTE = np.zeros(256, dtype=bool)
@@ -140,22 +143,39 @@ def forward_backward(potentials: np.ndarray, of: np.ndarray, rows: np.ndarray, s
     return ahead, pairs
 
 
+def spliced(rows: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Places of words that make a text of pieces in random order; rows: offsets of the texts' words."""
+    rng = np.random.default_rng(seed)
+    pieces = []
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        while a < b:
+            to = min(b, a + int(rng.integers(*PIECE)))
+            if rng.integers(SPLICED) == 0:
+                pieces.append(np.arange(a, to))
+            a = to
+    return np.concatenate([pieces[i] for i in rng.permutation(len(pieces))]) if pieces else np.zeros(0, np.int64)
+
+
 def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model:
     """Model of labelled texts by gradient ascent with AdaGrad steps; whole texts, cut into sequences of SEQUENCE words."""
     names = sorted(set(labels))
     words = Words(pa.array(texts, pa.string()))
     n, k = len(words.hashes), len(names)
+    mixed = spliced(words.rows)
+    of = np.concatenate([words.of, words.of[mixed]])
     times = np.bincount(words.of, minlength=n)
     lexicon = words.hashes[times >= 3]
     model = Model(names, np.zeros((NGRAM_ROWS, k)), np.zeros((WORD_ROWS, k)), lexicon, np.full(k, 1 / max(1, k)), np.full((k, k), 0.0))
     if not k or not n:
         model.move = np.ones((k, k))
         return model
-    cuts = np.unique(np.concatenate([np.arange(a, b, SEQUENCE) for a, b in zip(words.rows[:-1], words.rows[1:], strict=True)] + [words.rows]))
+    edges = np.append(words.rows, len(of)) if len(mixed) else words.rows
+    cuts = np.unique(np.concatenate([np.arange(a, b, SEQUENCE) for a, b in zip(edges[:-1], edges[1:], strict=True)] + [edges]))
     gold = np.repeat(np.array([names.index(x) for x in labels]), np.diff(words.rows))
+    gold = np.concatenate([gold, gold[mixed]])
     rows, owner, word_rows, word_owner = _features(words.data, words.starts, words.ends, words.hashes, lexicon)
     target = np.zeros((n, k))
-    np.add.at(target, (words.of, gold), 1)
+    np.add.at(target, (of, gold), 1)
     same = np.zeros((k, k))
     inside = np.ones(len(gold), dtype=bool)
     inside[cuts[:-1]] = False
@@ -164,8 +184,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model:
     square = [np.full_like(w, 1e-8) for w in weights]
     for _ in range(epochs):
         model.move = np.exp(weights[2])
-        chance, pairs = forward_backward(_potentials(model, words), words.of, cuts, model.start, model.move)
-        got = np.stack([np.bincount(words.of, chance[:, j], n) for j in range(k)], axis=1)
+        chance, pairs = forward_backward(_potentials(model, words), of, cuts, model.start, model.move)
+        got = np.stack([np.bincount(of, chance[:, j], n) for j in range(k)], axis=1)
         error = (target - got) / len(gold)
         error[~words.has_letter] = 0
         steps = [_sum_columns(error, rows, owner, NGRAM_ROWS), _sum_columns(error, word_rows, word_owner, WORD_ROWS), (same - pairs) / len(gold)]
@@ -177,8 +197,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model:
 
 
 def _sampled(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str) -> pd.DataFrame:
-    """Up to SAMPLE_DOCS labelled documents of each language, those with the smallest hash of their id."""
-    known = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    """Up to SAMPLE_DOCS labelled documents of each language of SAMPLE_BYTES in all, those with the smallest hash of their id."""
+    known = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
@@ -187,19 +207,22 @@ def _sampled(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lan
     spread = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / F.lit(1 << 30)
     few = known.withColumn("h", spread).where(F.col("h") <= F.element_at(share, F.col("lang")))
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
-    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).select("text", "lang").toArrow().to_pandas()
+    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).withColumn("bytes", F.sum(F.octet_length("text")).over(order))
+    return ranked.where(F.col("bytes") <= SAMPLE_BYTES).orderBy("lang", "rank").select("text", "lang").toArrow().to_pandas()
 
 
 def identify_language(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, shares) of every document's whole text.
+    """(doc_id, held_out, lang_pred, score, sure, shares) of every document's whole text.
 
     Learned from text and non-null lang of rows that are not held out (by
     default those whose crc32 of the id mod 4 is 2), SAMPLE_DOCS documents of
     each language at most. lang_pred is `und`, score 0, if the text is null or
     has no letter, or if nothing could be learned. score is the share of the
     text's words that lang_pred is expected to have; shares has that of every
-    language, for code-switched texts. Null ids are never learned from;
-    repeated rows are kept.
+    language, for code-switched texts, and sure is the mean over the words of
+    the likeliest language's probability, whichever it is. Null ids are never
+    learned from; repeated rows are kept, very long texts taken whole; an empty
+    table gives an empty result.
     """
     crc = F.crc32(F.col(id_col).cast("string"))
     held_out = F.coalesce(crc % 4 == 2, F.lit(False)) if held_out is None else held_out
@@ -213,13 +236,14 @@ def identify_language(docs: DataFrame, held_out: Column | None = None, id_col: s
             for batch in slices(whole, "text", 1 << 20):
                 words = Words(batch.column("text"))
                 n = len(batch)
-                total = np.zeros((n, len(names)))
+                total, sure = np.zeros((n, len(names))), np.zeros(n)
                 if names and len(words.of):
                     chance, _ = forward_backward(_potentials(model.value, words), words.of, words.rows, model.value.start, model.value.move)
                     counted = words.has_letter[words.of]
                     own = np.repeat(np.arange(n), np.diff(words.rows))[counted]
                     for k in range(len(names)):
                         total[:, k] = np.bincount(own, chance[counted, k], n)
+                    sure = np.bincount(own, chance[counted].max(1), n) / np.maximum(1, np.bincount(own, minlength=n))
                 letter = np.array([bool(t) and bool(_LETTER.search(t)) for t in batch.column("text").to_pylist()], dtype=bool)
                 sums = total.sum(1)
                 good = letter & (sums > 0)
@@ -228,7 +252,7 @@ def identify_language(docs: DataFrame, held_out: Column | None = None, id_col: s
                 pred = [names[b] if g else "und" for b, g in zip(best, good, strict=True)]
                 score = np.where(good, np.minimum(1.0, share.max(1)) if names else 0.0, 0.0)
                 shares = pa.array([list(zip(names, s, strict=True)) if g else [] for s, g in zip(share.tolist(), good, strict=True)], pa.map_(pa.string(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array(pred, pa.string()), pa.array(score), shares], ["doc_id", "held_out", "lang_pred", "score", "shares"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held"), pa.array(pred, pa.string()), pa.array(score), pa.array(np.where(good, sure, 0.0)), shares], ["doc_id", "held_out", "lang_pred", "score", "sure", "shares"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, sure double, shares map<string,double>")

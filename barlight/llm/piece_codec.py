@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import slices
 
@@ -320,9 +321,12 @@ class PieceCodec:
 _CODECS: dict[str, PieceCodec] = {}
 
 
-def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every document's whole text.
 
+    keep names columns of docs that the result has beside these, doc_id among
+    them only once; a column that docs has under a result's name is replaced.
+
     model is a path of a BPE model file, read on the driver and sent to the
     executors (about 0.5 MB). A null text counts as empty and has the end id
     alone. Very long texts and words are encoded whole; a task holds a slice of
@@ -332,8 +336,11 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     with open(model, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     key = hashlib.sha256(data.value).hexdigest()
-    more = ", ids array<int>, decoded string" if ids else ""
-    id_type = dict(docs.dtypes)[id_col]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
+    kept = [c for c in keep or [] if c not in names]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"kept{i}") for i, c in enumerate(kept)))
+    kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType(), *([T.ArrayType(T.IntegerType()), T.StringType()] if ids else [])]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip([*names, *kept], [*kinds, *(docs.schema[c].dataType for c in kept)], strict=True)])
 
     def run(batches):
         if key not in _CODECS:
@@ -357,11 +364,9 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
                         all_ids.append(own)
                         all_text.append(text)
                 columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    columns, names = [*columns, pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())], [*names, "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *kept])
         codec.words = {}
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return rows.mapInArrow(run, schema)

@@ -151,7 +151,7 @@ def shingle_sets(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.nd
     n = np.diff(rows)
     grams = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
     for j in range(width):
-        grams = mix(grams + words[j : len(words) - width + 1 + j])
+        grams = mix(grams + words[j : j + len(grams)])
     short = np.flatnonzero((n > 0) & (n < width))
     counts = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
     full = np.flatnonzero(n >= width)
