@@ -50,12 +50,16 @@ def short_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
+def materialise(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again.
+
+    Rows of megabytes need row groups of few rows: a reader holds one group.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    options = {"parquet.block.size": 1 << 22, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 16} if large_rows else {}
     with short_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out
