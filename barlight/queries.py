@@ -8,7 +8,7 @@ on both sides, as sums may differ in the last place.
 from __future__ import annotations
 
 from collections.abc import Callable
-
+from datetime import date, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,7 +83,7 @@ class Crossing:
         return self._exit
 
 
-def _sql(entry: str = _UP, exit: str = _DOWN, side: int = 1, cost: str = "0.0::double", tp: float | None = None, sl: float | None = None, stop_first: bool = True, again: bool = False, limit: str | None = None, what: str = "returns", realized: bool = False) -> str:
+def _sql(entry: str = _UP, exit: str = _DOWN, side: int = 1, cost: str = "0.0::double", tp: float | str | None = None, sl: float | str | None = None, stop_first: bool = True, again: bool = False, limit: str | None = None, what: str = "returns", realized: bool = False) -> str:
     """The engine's rules as SQL, written as a chain of window steps."""
     steps = [_BARS, f"sig AS (SELECT *, ({entry}) AS en, ({exit}) AS ex FROM ind {_W})" if not realized else entry]
     steps.append(f"pos AS (SELECT *, coalesce(last_value(CASE WHEN en THEN 1 WHEN ex THEN 0 END IGNORE NULLS) OVER u, 0) AS p, {cost} AS c FROM sig {_W})")
@@ -93,9 +93,13 @@ def _sql(entry: str = _UP, exit: str = _DOWN, side: int = 1, cost: str = "0.0::d
     ladder, out, price, own, src = "", "outs", "no", "false", "bar"
     if tp is not None or sl is not None:
         base = "CASE WHEN ebar THEN open END" if not again else "CASE WHEN ebar OR again THEN open END"
-        steps.append(f"blk AS (SELECT *, sum(CASE WHEN ebar THEN 1 ELSE 0 END) OVER u AS blk, last_value({base} IGNORE NULLS) OVER u AS fill FROM bar {_W})")
+        latched = "".join(f", last_value({base.replace('open', f'was_{x}')} IGNORE NULLS) OVER u AS at_{x}" for x in (tp, sl) if isinstance(x, str))
+        was = "".join(f", lag({x}) OVER w AS was_{x}" for x in (tp, sl) if isinstance(x, str))
+        steps.append(f"old AS (SELECT *{was} FROM bar {_W})")
+        steps.append(f"blk AS (SELECT *, sum(CASE WHEN ebar THEN 1 ELSE 0 END) OVER u AS blk, last_value({base} IGNORE NULLS) OVER u AS fill{latched} FROM old {_W})")
         up = side == 1
-        legs = {"sl": sl and (f"fill * {1 - side * sl}::double", "low <= {0}" if up else "high >= {0}", "least(open, {0})" if up else "greatest(open, {0})"), "tp": tp and (f"fill * {1 + side * tp}::double", "high >= {0}" if up else "low <= {0}", "greatest(open, {0})" if up else "least(open, {0})")}
+        level = lambda x, sign: f"at_{x}" if isinstance(x, str) else f"fill * {1 + sign * x}::double"
+        legs = {"sl": sl and (level(sl, -side), "low <= {0}" if up else "high >= {0}", "least(open, {0})" if up else "greatest(open, {0})"), "tp": tp and (level(tp, side), "high >= {0}" if up else "low <= {0}", "greatest(open, {0})" if up else "least(open, {0})")}
         names = [k for k in (("sl", "tp") if stop_first else ("tp", "sl")) if legs[k]]
         hit = " OR ".join(legs[k][1].format(legs[k][0]) for k in names)
         lvl = "CASE " + " ".join(f"WHEN {legs[k][1].format(legs[k][0])} THEN {legs[k][2].format(legs[k][0])}" for k in names) + " END"
@@ -123,7 +127,7 @@ def _sql(entry: str = _UP, exit: str = _DOWN, side: int = 1, cost: str = "0.0::d
 def _run(what: str, strategy: Any = None, **options: Any) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         options.setdefault("instrument_col", "instrument")
-        result = run(lineitem_bars(spark, sf_dir), strategy() if strategy else Crossing(), check=False, **options)
+        result = run(lineitem_bars(spark, sf_dir), strategy() if strategy else Crossing(), **({"check": False} | options))
         if what == "position":
             return result.signals.select("instrument", "date", "_entry", "_exit", "_position", "_side")
         return rounded(getattr(result, what))
@@ -176,6 +180,10 @@ for _name, _bracket, _args in (
     _add(_name, _run("returns", bracket=_bracket), _sql(**_args))
     _add(f"{_name}_trades", _run("trades", bracket=_bracket), _sql(what="trades", **_args))
 _add("bracket_short", _run("returns", bracket=Bracket(0.25, 0.2), trade_side=TradeSide.SHORT), _sql(tp=0.25, sl=0.2, side=-1))
+# Levels from columns: the high and the low of the bar that signals, with the engine's guards.
+for _name, _bracket, _args in (("bracket_columns", Bracket("high", "low"), {"tp": "high", "sl": "low"}), ("bracket_columns_signal", Bracket("high", 0.3, anchor="signal"), {"tp": "high", "sl": 0.3, "again": True})):
+    _add(_name, _run("returns", bracket=_bracket, check=True), _sql(**_args))
+    _add(f"{_name}_trades", _run("trades", bracket=_bracket, check=True), _sql(what="trades", **_args))
 
 # Exits that refer to the entry: the oracle walks the bars by recursion.
 _REALIZED = f"""e AS (SELECT *, coalesce(({_UP}), false) AS en0 FROM ind {_W}),
@@ -219,6 +227,32 @@ _RAW = _raw(_sql())
 _add("portfolio_weighted", _weighted({"A": 0.5, "N": 0.3, "R": 0.2}), _WEIGHTED.format(_RAW, "('A', 0.5::double), ('N', 0.3::double), ('R', 0.2::double)"))
 _add("portfolio_missing_symbol", _weighted({"A": 0.6, "R": 0.4}), _WEIGHTED.format(_RAW, "('A', 0.6::double), ('R', 0.4::double)"))
 
+# What the engine refuses, and what it lets pass.
+
+def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = lineitem_bars(spark, sf_dir).withColumns({"gap": F.when(F.lit(False), F.col("open")), "below": -F.col("slip")})
+    limit = Limit(ValueGT("high", Col("slow") * 1.2))
+    cases: dict[str, tuple[Any, dict[str, Any]]] = {
+        "level column without gaps": (Crossing(), {"bracket": Bracket("high")}), "level column with gaps": (Crossing(), {"bracket": Bracket("gap")}),
+        "slippage of 0 or more": (Crossing(), {"cost": Cost(1, 0, "slip")}), "negative slippage": (Crossing(), {"cost": Cost(1, 0, "below")}), "null slippage": (Crossing(), {"cost": Cost(1, 0, "gap")}),
+        "sides that exclude each other": (Crossing(), {"short_strategy": Crossing(Crossunder("fast", "slow"), Crossover("fast", "slow"))}), "sides that overlap": (Crossing(), {"short_strategy": Crossing()}),
+        "limit entry": (Crossing(limit), {}), "limit exit with a bracket": (Crossing(exit=limit), {"bracket": Bracket(0.1)}), "bracket with two sides": (Crossing(), {"bracket": Bracket(0.1), "short_strategy": Crossing()}),
+        "missing column": (Crossing(), {"bracket": Bracket("nowhere")}), "flattening without a calendar": (Crossing(), {"flatten_eod": True}), "weights of all": (Crossing(), {"instrument_weights": {"A": 0.5, "N": 0.3, "R": 0.2}}), "weights of some": (Crossing(), {"instrument_weights": {"A": 1.0}}),
+    }
+    out = []
+    for name, (strategy, options) in cases.items():
+        try:
+            run(bars, strategy, instrument_col="instrument", **options)
+            out.append((name, None))
+        except (ValueError, NotImplementedError) as e:
+            out.append((name, type(e).__name__))
+    return spark.createDataFrame(out, "guard string, error string")
+
+
+_add("engine_guards", _guards, """SELECT * FROM (VALUES ('level column without gaps', NULL), ('level column with gaps', 'ValueError'), ('slippage of 0 or more', NULL), ('negative slippage', 'ValueError'), ('null slippage', 'ValueError'),
+  ('sides that exclude each other', NULL), ('sides that overlap', 'ValueError'), ('limit entry', 'NotImplementedError'), ('limit exit with a bracket', 'NotImplementedError'), ('bracket with two sides', 'NotImplementedError'),
+  ('missing column', 'ValueError'), ('flattening without a calendar', 'ValueError'), ('weights of all', NULL), ('weights of some', 'ValueError')) v(guard, error)""")
+
 # Metrics over daily changes of the mean order price, by priority.
 
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +293,7 @@ def _register_metrics() -> None:
 
 
 _add("drawdown", lambda s, d: rounded(M.drawdown(_returns(s, d), ORDER).select("instrument", "date", "drawdown")), f"WITH {_R} SELECT instrument, date, round(dd, 9) AS drawdown FROM dd")
+_add("cumulative_returns", lambda s, d: rounded(M.cumulative_returns(_returns(s, d), ORDER).select("instrument", "date", "cumulative")), f"WITH {_R} SELECT instrument, date, round(wealth - 1, 9) AS cumulative FROM wl")
 _add("cvar_hist", lambda s, d: rounded(M.cvar_historical(_returns(s, d), keys=["instrument"])), f"WITH {_R}, q AS (SELECT instrument, quantile_cont(r, 0.05) AS q FROM r GROUP BY 1) SELECT instrument, round(avg(r), 9) AS cvar FROM r JOIN q USING (instrument) WHERE r <= q GROUP BY 1")
 _ISLANDS = f"WITH {_R}, g AS (SELECT *, sum(CASE WHEN dd < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY instrument ORDER BY date) AS g FROM dd) SELECT instrument, max(days) AS longest_drawdown_days FROM (SELECT instrument, g, CAST(max(date) - min(date) AS BIGINT) AS days FROM g WHERE dd < 0 GROUP BY 1, 2) GROUP BY 1"
 _add("longest_drawdown", lambda s, d: M.longest_drawdown_days(M.drawdown(_returns(s, d), ORDER), ORDER), _ISLANDS)
@@ -301,6 +336,50 @@ _SESSIONS = f"c AS (SELECT CAST(x AS DATE) AS x FROM (VALUES {_CLOSED}) v(x)), s
 _add("valid_days", lambda s, d: s.createDataFrame([(x,) for x in get_calendar("XNYS").valid_days("2024-01-01", "2024-12-31")], "date date"), f"WITH {_SESSIONS} SELECT date FROM s")
 _add("schedule", lambda s, d: get_calendar("XNYS").schedule_frame(s, "2024-01-01", "2024-12-31").select("date", "open_local", "close_local"), f"WITH {_SESSIONS} SELECT date, date + INTERVAL 570 MINUTE AS open_local, date + close AS close_local FROM s")
 _add("early_closes", lambda s, d: get_calendar("XNYS").schedule_frame(s, "2024-01-01", "2024-12-31").where("hour(close_local) < 16").select("date", "close_local"), f"WITH {_SESSIONS} SELECT date, date + close AS close_local FROM s WHERE close < INTERVAL 16 HOUR")
+_add("session_navigation", lambda s, d: s.createDataFrame([(x, get_calendar("XNYS").is_session(x), get_calendar("XNYS").next_session(x), get_calendar("XNYS").previous_session(x)) for x in (date(2024, 2, 1) + timedelta(days=i) for i in range(300))], "date date, is_session boolean, following date, preceding date"),
+     f"WITH {_SESSIONS} SELECT d.date, d.date IN (SELECT date FROM s) AS is_session, (SELECT min(s.date) FROM s WHERE s.date > d.date) AS following, (SELECT max(s.date) FROM s WHERE s.date < d.date) AS preceding FROM (SELECT DATE '2024-02-01' + CAST(i AS INTEGER) AS date FROM range(300) r(i)) d")
+
+
+def _minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = get_calendar("XNYS")
+    plain = lambda t: t.replace(tzinfo=None)
+    times = [datetime(2024, 6, 28, 0, 15) + timedelta(hours=i) for i in range(240)]
+    return spark.createDataFrame([(t, c.is_open_on_minute(t), c.minute_to_session(t), *[plain(f(t)) for f in (c.next_open, c.next_close, c.previous_open, c.previous_close)]) for t in times], "minute_at timestamp_ntz, is_open boolean, session date, next_open timestamp_ntz, next_close timestamp_ntz, previous_open timestamp_ntz, previous_close timestamp_ntz")
+
+
+_add("session_minutes", _minutes, f"""WITH {_SESSIONS}, k AS (SELECT date, date + INTERVAL 570 MINUTE AS o, date + close AS c FROM s), t AS (SELECT TIMESTAMP '2024-06-28 00:15:00' + to_hours(CAST(i AS INTEGER)) AS minute_at FROM range(240) r(i))
+SELECT minute_at, EXISTS (SELECT 1 FROM k WHERE o <= minute_at AND minute_at < c) AS is_open, (SELECT date FROM k WHERE o <= minute_at AND minute_at < c) AS session, (SELECT min(o) FROM k WHERE o > minute_at) AS next_open, (SELECT min(c) FROM k WHERE c > minute_at) AS next_close, (SELECT max(o) FROM k WHERE o < minute_at) AS previous_open, (SELECT max(c) FROM k WHERE c < minute_at) AS previous_close FROM t""")
+
+# Closed weekdays and early closes of 2024 by exchange, with the minutes of the day at which it opens (of the day before, if negative) and closes.
+_VENUES_2024: dict[str, tuple[int, int, str, dict[str, str]]] = {
+    "XNAS": (570, 960, "01-01 01-15 02-19 03-29 05-27 06-19 07-04 09-02 11-28 12-25", {"13:00": "07-03 11-29 12-24"}),
+    "XCBO": (570, 975, "01-01 01-15 02-19 03-29 05-27 06-19 07-04 09-02 11-28 12-25", {"13:00": "11-29"}),
+    "XCME": (570, 975, "01-01 03-29 12-25", {"13:00": "01-15 02-19 05-27 07-04 09-02 11-28 11-29 12-24"}),
+    "GLBX": (-360, 1020, "01-01 03-29 12-25", {"13:00": "01-15 02-19 05-27 07-04 09-02 11-28 11-29 12-24"}),
+    "CMES": (-420, 1020, "", {}),
+    "XLON": (480, 990, "01-01 03-29 04-01 05-06 05-27 08-26 12-25 12-26", {"12:30": "12-24 12-31"}),
+    "XPAR": (540, 1050, "01-01 03-29 04-01 05-01 12-25 12-26", {"14:05": "12-24 12-31"}),
+    "XETR": (540, 1050, "01-01 03-29 04-01 05-01 12-24 12-25 12-26 12-31", {"14:00": "12-30"}),
+    "XTSE": (570, 960, "01-01 02-19 03-29 05-20 07-01 08-05 09-02 10-14 12-25 12-26", {"13:00": "12-24"}),
+    "XTKS": (540, 900, "01-01 01-02 01-03 01-08 02-12 02-23 03-20 04-29 05-03 05-06 07-15 08-12 09-16 09-23 10-14 11-04 12-31", {}),
+    "XHKG": (570, 960, "01-01 02-12 02-13 03-29 04-01 04-04 05-01 05-15 06-10 07-01 09-06 09-18 10-01 10-11 12-25 12-26", {"12:00": "02-09 12-24 12-31"}),
+}
+
+
+def _venue_sql(opens: int, closes: int, closed: str, early: dict[str, str]) -> str:
+    days = lambda text: ", ".join(f"DATE '2024-{x}'" for x in text.split()) or "NULL"
+    ends = "".join(f"WHEN date IN ({days(text)}) THEN INTERVAL '{at}:00' " for at, text in early.items())
+    close = f"CASE {ends}ELSE INTERVAL {closes} MINUTE END" if ends else f"INTERVAL {closes} MINUTE"
+    free = f" AND date NOT IN ({days(closed)})" if closed else ""
+    return f"SELECT date, date + INTERVAL ({opens}) MINUTE AS open_local, date + {close} AS close_local FROM (SELECT CAST(d AS DATE) AS date FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) g(d)) WHERE isodow(date) < 6{free}"
+
+
+def _venue(name: str) -> Query:
+    return lambda s, d: get_calendar(name).schedule_frame(s, "2024-01-01", "2024-12-31").select("date", "open_local", "close_local")
+
+
+for _name, _args in _VENUES_2024.items():
+    _add(f"schedule_{_name.lower()}", _venue(_name), _venue_sql(*_args))
 
 
 def _intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,27 +396,41 @@ _add("trading_index", lambda s, d: get_calendar("XNYS").trading_index(s, "2024-0
 _add("session_offset", lambda s, d: s.createDataFrame([(x, get_calendar("XNYS").session_offset(x, 3)) for x in get_calendar("XNYS").valid_days("2024-02-01", "2024-11-30")], "date date, later date"), f"WITH {_SESSIONS}, k AS (SELECT date, lead(date, 3) OVER (ORDER BY date) AS later FROM s) SELECT * FROM k WHERE date BETWEEN DATE '2024-02-01' AND DATE '2024-11-30'")
 
 
-def _flatten(schedule: FlattenSchedule) -> Query:
+def _flatten(schedule: FlattenSchedule, what: str = "position") -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bars = _intraday(spark, sf_dir).select("instrument", "date", "event_id", F.col("price").alias("open"), F.col("price").alias("close"))
-        result = run(bars, Crossing(ValueGT("close", 300), ValueLT("close", 200)), calendar=get_calendar("XNYS"), flatten=schedule, instrument_col="instrument", seq_col="event_id", check=False)
-        return result.signals.select("instrument", "event_id", "_position")
+        bars = _intraday(spark, sf_dir).select("instrument", "date", "event_id", (F.col("price") + F.col("event_id") % 7).alias("open"), F.col("price").alias("close"))
+        result = run(bars, Crossing(ValueGT("close", 300), ValueLT("close", 200)), calendar=get_calendar("XNYS"), flatten=schedule, instrument_col="instrument", seq_col="event_id", cost=Cost(2, 1.5), check=False)
+        if what == "position":
+            return result.signals.select("instrument", "event_id", "_position")
+        return rounded(getattr(result, what))
 
     return query
 
 
-def _flatten_sql(days: str, minutes: int, block: int) -> str:
+def _flatten_sql(days: str, minutes: int, block: int, what: str = "position") -> str:
+    c = "0.00035::double"
     return f"""WITH {_SESSIONS}, wk AS (SELECT *, date = max(date) OVER (PARTITION BY date_trunc('week', date)) AS wc FROM s),
-b AS (SELECT event_type AS instrument, ts, event_id, 100 + value AS close, wk.date AS ses, wk.date + wk.close AS cl, {days} AS pick FROM events JOIN wk ON CAST(ts AS DATE) = wk.date WHERE ts >= wk.date + INTERVAL 570 MINUTE AND ts <= wk.date + wk.close - INTERVAL 1 MINUTE),
+b AS (SELECT event_type AS instrument, ts, event_id, 100 + value AS close, 100 + value + event_id % 7 AS open, wk.date AS ses, wk.date + wk.close AS cl, {days} AS pick FROM events JOIN wk ON CAST(ts AS DATE) = wk.date WHERE ts >= wk.date + INTERVAL 570 MINUTE AND ts <= wk.date + wk.close - INTERVAL 1 MINUTE),
 o AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts, event_id) AS idx, pick AND {"ts >= cl - INTERVAL " + str(block) + " MINUTE" if block else "false"} AS bl FROM b),
 f AS (SELECT *, coalesce(idx = max(CASE WHEN pick AND ts <= cl - INTERVAL {minutes} MINUTE THEN idx END) OVER (PARTITION BY instrument, ses), false) AS fb, close > 300 AS e0, close < 200 AS ex FROM o),
-d AS (SELECT *, (e0 OR coalesce(lag(e0 AND fb AND NOT bl) OVER (PARTITION BY instrument ORDER BY idx), false)) AND NOT bl AS en FROM f)
-SELECT instrument, event_id, CAST(coalesce(last_value(CASE WHEN en AND NOT fb THEN 1 WHEN ex OR fb THEN 0 END IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS INTEGER) AS _position FROM d"""
+d AS (SELECT *, (e0 OR coalesce(lag(e0 AND fb AND NOT bl) OVER (PARTITION BY instrument ORDER BY idx), false)) AND NOT bl AS en FROM f),
+p AS (SELECT *, coalesce(last_value(CASE WHEN en AND NOT fb THEN 1 WHEN ex OR fb THEN 0 END IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS p FROM d),
+l AS (SELECT *, coalesce(lag(p) OVER w, 0) AS d1, coalesce(lag(p, 2) OVER w, 0) AS d2, lag(close) OVER w AS pc, lead(open) OVER w AS no, coalesce(lag(fb) OVER w, false) AS after FROM p WINDOW w AS (PARTITION BY instrument ORDER BY idx)),
+i AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY idx) AS k FROM l WHERE p = 1 AND d1 = 0), x AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY idx) AS k FROM l WHERE p = 0 AND d1 = 1)
+""" + {
+        "position": "SELECT instrument, event_id, CAST(p AS INTEGER) AS _position FROM l",
+        "returns": f"""SELECT instrument, ts AS date, round(CASE WHEN after THEN 0 WHEN fb AND d1 = 1 AND d2 = 0 THEN -2 * {c} WHEN fb AND d1 = 1 THEN (open - pc) / pc - {c} WHEN d1 = 1 AND d2 = 0 THEN (close - open) / open - {c} WHEN d1 = 0 AND d2 = 1 THEN (open - pc) / pc - {c} WHEN d1 = 1 THEN close / pc - 1 ELSE 0 END, 9) AS "return" FROM l""",
+        "trades": f"SELECT i.instrument, i.ts AS entry_date, x.ts AS exit_date, CAST(1 AS TINYINT) AS side, round(CASE WHEN x.fb THEN x.open ELSE x.no END / i.no - 1 - 2 * {c}, 9) AS pnl, CAST(x.idx + CASE WHEN x.fb THEN 0 ELSE 1 END - i.idx - 1 AS BIGINT) AS bars_held FROM i JOIN x USING (instrument, k)",
+    }[what]
 
 
 _add("flatten_eod", _flatten(FlattenSchedule("daily")), _flatten_sql("true", 0, 0))
 _add("flatten_eow", _flatten(FlattenSchedule("weekly")), _flatten_sql("wc", 0, 0))
 _add("flatten_offset_block", _flatten(FlattenSchedule({3, 5}, 30, 60)), _flatten_sql("isodow(wk.date) IN (3, 5)", 30, 60))
+for _what in ("returns", "trades"):
+    _add(f"flatten_eod_{_what}", _flatten(FlattenSchedule("daily"), _what), _flatten_sql("true", 0, 0, _what))
+    _add(f"flatten_eow_{_what}", _flatten(FlattenSchedule("weekly"), _what), _flatten_sql("wc", 0, 0, _what))
+    _add(f"flatten_offset_block_{_what}", _flatten(FlattenSchedule({3, 5}, 30, 60), _what), _flatten_sql("isodow(wk.date) IN (3, 5)", 30, 60, _what))
 
 # Rates: a synthetic curve by date from orders.
 
@@ -347,14 +440,23 @@ def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("date", *[(F.when(F.dayofmonth("date") != 13, 0.01 * at[x] + F.col("x") / 1e8) if x in at else F.lit(None).cast("double")).alias(x.column) for x in TreasuryRate])
 
 
-_C = "c AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(CAST(o_totalprice AS DOUBLE)) AS x FROM orders GROUP BY 1), q AS (SELECT date, CASE WHEN day(date) <> 13 THEN 0.01::double * 1 + x / 1e8 END AS m3, CASE WHEN day(date) <> 13 THEN 0.01::double * 2 + x / 1e8 END AS y2, CASE WHEN day(date) <> 13 THEN 0.01::double * 3 + x / 1e8 END AS y10 FROM c WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30')"
-_SPAN = ("1996-01-01", "1997-06-30")
+_C = "c AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(CAST(o_totalprice AS DOUBLE)) AS x FROM orders GROUP BY 1), q AS (SELECT date, CASE WHEN day(date) <> 13 THEN 0.01::double * 1 + x / 1e8 END AS m3, CASE WHEN day(date) <> 13 THEN 0.01::double * 2 + x / 1e8 END AS y2, CASE WHEN day(date) <> 13 THEN 0.01::double * 3 + x / 1e8 END AS y10 FROM c)"
+_SPAN = ("1900-01-01", "2100-12-31")  # all dates of the table
 _add("treasury_rates", lambda s, d: rounded(treasury_rates(_rates(s, d), *_SPAN, TreasuryRate.M3)), f"WITH {_C} SELECT date, round(m3, 9) AS rate FROM q WHERE m3 IS NOT NULL")
 _add("treasury_spread", lambda s, d: rounded(treasury_spread(_rates(s, d), *_SPAN)), f"WITH {_C} SELECT date, round(y10 - y2, 9) AS spread FROM q WHERE y10 IS NOT NULL")
 _add("treasury_matrix", lambda s, d: rounded(treasury_spread_matrix(_rates(s, d), *_SPAN, [TreasuryRate.M3, TreasuryRate.Y2, TreasuryRate.Y10])), f"WITH {_C} SELECT date, round(y2 - m3, 9) AS spread_2year_3month, round(y10 - m3, 9) AS spread_10year_3month, round(y10 - y2, 9) AS spread_10year_2year FROM q")
 _add("mean_rate", lambda s, d: rounded(mean_treasury_rate(_rates(s, d), *_SPAN)), f"WITH {_C} SELECT round(avg(m3), 9) AS rate FROM q")
 _add("mean_rate_geo", lambda s, d: rounded(mean_treasury_rate(_rates(s, d), *_SPAN, method=MeanMethod.GEOMETRIC)), f"WITH {_C} SELECT round(exp(avg(ln(1 + m3))) - 1, 9) AS rate FROM q")
 
+
+def _fallback_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over a range with rates, the last rate before a range without any, and 0 where nothing is known."""
+    each = [mean_treasury_rate(_rates(spark, sf_dir), f"{a}-01-01", f"{b}-12-31").select(F.lit(n).alias("span"), "rate") for n, a, b in (("inside", 1996, 1997), ("after", 2002, 2002), ("nothing", 1980, 1981))]
+    return rounded(each[0].union(each[1]).union(each[2]))
+
+
+_add("fallback_rates", _fallback_rates, f"WITH {_C} SELECT 'inside' AS span, (SELECT round(avg(m3), 9) FROM q WHERE year(date) IN (1996, 1997)) AS rate UNION ALL SELECT 'after', (SELECT round(arg_max(m3, date), 9) FROM q WHERE m3 IS NOT NULL AND year(date) IN (2001, 2002)) UNION ALL SELECT 'nothing', 0.0::double")
+
 # Simulation has no SQL counterpart; its distributions are tested.
 _add("gbm", lambda s, d: monte_carlo(s, Process.GBM, 20, 253, seed=7, base=100.0, drift=0.05, vol=0.2))
 _add("ou", lambda s, d: monte_carlo(s, Process.OU, 20, 253, seed=7, theta=5.0, mu=1.0, sigma=0.3))
@@ -369,4 +471,8 @@ def _macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(run(macd(lineitem_bars(spark, sf_dir), ORDER), MacdCrossover(), instrument_col="instrument", check=False).returns)
 
 
-_add("macd_crossover", _macd)
+# The three exponential means by recursion, seeded by the first close.
+_MACD = f"""walk(instrument, idx, f, s, g) AS (SELECT instrument, idx, close, close, 0.0::double FROM ind WHERE idx = 0
+  UNION ALL SELECT instrument, idx, f, s, g + (f - s - g) * 0.2::double FROM (SELECT i.instrument, i.idx, f + (close - f) * (2.0::double / 13) AS f, s + (close - s) * (2.0::double / 27) AS s, g FROM walk JOIN ind i ON i.instrument = walk.instrument AND i.idx = walk.idx + 1)),
+sig AS (SELECT ind.*, f - s > g AND lag(f - s) OVER v <= lag(g) OVER v AS en, f - s < g AND lag(f - s) OVER v >= lag(g) OVER v AS ex FROM ind JOIN walk USING (instrument, idx) WINDOW v AS (PARTITION BY instrument ORDER BY idx))"""
+_add("macd_crossover", _macd, "WITH RECURSIVE" + _sql(entry=_MACD, realized=True).removeprefix("WITH"))
