@@ -7,8 +7,8 @@ without merging: an Aho-Corasick automaton gives the pieces that end at a
 place, longest first, and the first one compatible with the last piece of the
 prefix before it is stored. The ids follow backwards from the end.
 
-Words, each with the blanks before it, are encoded once per batch, many at a
-time in numpy; no piece crosses from a letter to a following blank, so a
+Words, each with the blanks before it, are encoded once per slice of texts, all
+in numpy; no piece crosses from a letter to a following blank, so a
 text's words are independent. Decoding takes a whole text's ids.
 
 Models that normalise, drop blanks, put none first, are no BPE with byte
@@ -21,23 +21,36 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import slices
+from .words import slices, text_bytes
 
 BLANK = "▁"
 _CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-#: Words kept between batches of a task.
+#: Words kept between calls of encode.
 CACHE_WORDS = 400_000
 #: Characters put through the table at once, one word at least.
-TABLE_CHARACTERS = 1 << 20
+TABLE_CHARACTERS = 1 << 18
+#: Bytes of texts put together at once, and bits of the table of pairs met lately.
+RUN_BYTES, MEMO_BITS = 1 << 20, 19
 _NONE = np.iinfo(np.int64).max
+#: High bits of the first of so many bytes of a character.
+_LEAD = np.array([0, 0, 0xC0, 0xE0, 0xF0])
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+
+
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1 ... first + size - 1 of each, one after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -116,6 +129,14 @@ class PieceCodec:
         self.shown[self.unknown] = " \u2047 "
         self.own = list(range(n))
         self.words: dict[str, tuple[bytes, list[int], bool]] = {}
+        # The same for many texts at once.
+        self.id_of_token = np.array([0] + [self.id_of[t] for t in self.tokens[1:]], dtype=np.int64)
+        self.id_of_byte = np.array([self.byte_id[b] for b in range(256)], dtype=np.int64)
+        self.decimals = pa.array([b"%d " % i for i in range(n)], pa.large_binary())
+        self.shown_bytes = pa.array([bytes([self.parts[i]]) if i in self.parts else s.encode() for i, s in enumerate(self.shown)], pa.large_binary())
+        self.blank_first = np.array([p.startswith(BLANK) and i not in self.silent for i, p in enumerate(self.pieces)])
+        self.is_part, self.is_silent = (np.isin(np.arange(n), list(x)) for x in (self.parts, self.silent))
+        self.memo_key, self.memo_ok = np.full(1 << MEMO_BITS, -1, dtype=np.int64), np.zeros(1 << MEMO_BITS, dtype=bool)
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces of text by merging, and the last merge's two sides: for making the tables from the pieces."""
@@ -213,8 +234,18 @@ class PieceCodec:
             self.single[ord(c)] = i
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether merging left's and right's text leaves the two tokens, by undoing their merges from the last one on."""
-        left, right, n = left.copy(), right.copy(), len(self.tokens)
+        """Whether merging left's and right's text leaves the two tokens; pairs met lately are looked up."""
+        key = left * len(self.tokens) + right
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+        ok = self.memo_ok[slot]
+        new = np.flatnonzero(self.memo_key[slot] != key)
+        ok[new] = self._undone(left[new], right[new])
+        self.memo_key[slot[new]], self.memo_ok[slot[new]] = key[new], ok[new]
+        return ok
+
+    def _undone(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What compatible returns, by undoing the tokens' merges from the last one on; the arguments are overwritten."""
+        n = len(self.tokens)
         ok = np.ones(len(left), dtype=bool)
         limit = np.full(len(left), _NONE)
         live = np.flatnonzero((left > 0) & (right > 0))
@@ -233,12 +264,10 @@ class PieceCodec:
             live = live[ok[live] & ~done]
         return ok
 
-    def _table(self, words: list[str]) -> list[list[int]]:
-        """Token numbers of each word from its end; -code point - 1 for a character that is no piece. words: the longest first."""
-        n = len(words)
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
+    def _table(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one word's after the other's, and the number of each. points: the words' characters; the longest first."""
+        n = len(sizes)
         start_of = np.cumsum(sizes) - sizes
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         code, single = self.code[points], self.single[points]
         # last[base + i]: the last token of a word's first i characters.
         base = start_of + np.arange(n)
@@ -259,37 +288,126 @@ class PieceCodec:
                 last[base[open_[fits]] + i + 1] = token[fits]
                 open_ = open_[~fits]
                 at[open_] = self.next_end[at[open_]]
-        out: list[list[int]] = [[] for _ in words]
+        found, many = [], np.zeros(n, dtype=np.int64)
         place, live = sizes.copy(), np.arange(n)
         while len(live):
             token = last[base[live] + place[live]]
-            shown = np.where(token > 0, token, -points[start_of[live] + place[live] - 1] - 1)
-            for w, t in zip(live.tolist(), shown.tolist(), strict=True):
-                out[w].append(t)
+            # A character that is no piece is told apart by its sign.
+            found.append((live, np.where(token > 0, self.id_of_token[token], -points[start_of[live] + place[live] - 1] - 1)))
+            many[live] += 1
             place[live] -= self.length[token]
             live = live[place[live] > 0]
-        return out
+        to = np.cumsum(many)
+        ids = np.empty(to[-1], dtype=np.int64)
+        for back, (live, shown) in enumerate(found, 1):
+            ids[to[live] - back] = shown
+        if (ids < 0).any():
+            point = np.maximum(-ids - 1, 0)
+            width = np.where(ids < 0, 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000), 1)
+            many = np.add.reduceat(width, to - many)
+            nth = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            ids, point, width = np.repeat(ids, width), np.repeat(point, width), np.repeat(width, width)
+            byte = point >> 6 * (width - 1 - nth)
+            byte = np.where(nth == 0, byte | _LEAD[width], byte & 0x3F | 0x80)
+            ids = np.where(ids < 0, self.id_of_byte[byte & 0xFF], ids)
+        return ids.astype(np.int32), many
+
+    def tabled(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, and where those of each begin and their number; points: the words' characters, one word at least."""
+        order = np.argsort(-sizes, kind="stable")
+        first, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        ids, counts, low = [], [], 0
+        while low < len(order):
+            high = low + max(1, TABLE_CHARACTERS // int(size[low]))
+            some, many = self._table(points[_ragged(first[low:high], size[low:high])], size[low:high])
+            ids.append(some)
+            counts.append(many)
+            low = high
+        many = np.concatenate(counts)
+        begin, number = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+        begin[order], number[order] = np.cumsum(many) - many, many
+        return np.concatenate(ids), begin, number
 
     def learn(self, words: set[str]) -> None:
         """Put (ids as text, ids, whether bytes of longer characters are among them) of each new word into self.words."""
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words = {w: self.words[w] for w in words if w in self.words}
-        new.sort(key=len, reverse=True)
+        if not new:
+            return
+        ids, begin, number = self.tabled(_points("".join(new)), np.array([len(w) for w in new], dtype=np.int64))
+        for w, low, many in zip(new, begin.tolist(), number.tolist(), strict=True):
+            own = [self.own[i] for i in ids[low : low + many].tolist()]
+            self.words[w] = b" ".join([b"%d" % i for i in own]), own, not self.parts.keys().isdisjoint(own)
+
+    def encode_texts(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, last row + 1, ids, their n + 1 edges) of runs of a column's texts, each with the end id; null is empty.
+
+        Distinct words go through the table once for the whole column.
+        """
+        if pa.compute.any(pa.compute.match_substring(column, BLANK)).as_py():
+            column = pa.compute.replace_substring(column, BLANK, " ")
+        data, offsets = text_bytes(column)
+        some = np.diff(offsets) > 0
+        rows = offsets + np.concatenate([[0], np.cumsum(some)])
+        # Encoding puts a blank first, so chunks begin with their blanks and cover the texts.
+        text = np.ones(rows[-1], dtype=bool)
+        text[rows[:-1][some]] = False
+        spaced = np.full(rows[-1], 32, dtype=np.uint8)
+        spaced[text] = data
+        blank = spaced == 32
+        first = blank.copy()
+        first[1:] &= ~blank[:-1]
+        first[rows[:-1][some]] = True
+        starts = np.flatnonzero(first)
+        cut = np.searchsorted(starts, rows)
+        if len(starts):
+            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, rows[-1])), pa.py_buffer(spaced)]).dictionary_encode()
+            of = np.asarray(chunks.indices)
+            data, offsets = text_bytes(chunks.dictionary)
+            points = _points(data.tobytes().decode())
+            points[points == 32] = ord(BLANK)
+            before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            ids, begin, number = self.tabled(points, np.diff(before[offsets]))
+        else:
+            of, ids, begin, number = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         low = 0
-        while low < len(new):
-            high = low + max(1, TABLE_CHARACTERS // len(new[low]))
-            part = new[low:high]
-            for w, tokens in zip(part, self._table(part), strict=True):
-                ids, odd = [], min(tokens) < -128
-                for t in reversed(tokens):
-                    if t > 0:
-                        ids.append(self.own[self.id_of[self.tokens[t]]])
-                    else:
-                        ids.extend(self.byte_id[b] for b in chr(-t - 1).encode())
-                self.words[w] = b" ".join([b"%d" % i for i in ids]), ids, odd
+        while low < len(column):
+            high = max(low + 1, int(np.searchsorted(rows, rows[low] + RUN_BYTES, side="right")) - 1)
+            word = of[cut[low] : cut[high]]
+            own = ids[_ragged(begin[word], number[word])]
+            edge = np.concatenate([[0], np.cumsum(number[word])])[cut[low : high + 1] - cut[low]] + np.arange(high - low + 1)
+            out = np.full(edge[-1], self.end, dtype=np.int32)
+            inner = np.ones(len(out), dtype=bool)
+            inner[edge[1:] - 1] = False
+            out[inner] = own
+            yield low, high, out, edge
             low = high
 
+    def spelled(self, ids: np.ndarray, edge: np.ndarray) -> list[memoryview]:
+        """The ids of each text in decimals, joined by one space; one id at least."""
+        line, offsets = text_bytes(self.decimals.take(pa.array(ids)))
+        at, line = offsets[edge].tolist(), memoryview(line)
+        return [line[a : b - 1] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def decode_texts(self, ids: np.ndarray, edge: np.ndarray) -> list[memoryview | bytes]:
+        """UTF-8 of what decode returns for the ids of each text; one id at least."""
+        shown, offsets = text_bytes(self.shown_bytes.take(pa.array(ids)))
+        at, shown = offsets[edge].tolist(), memoryview(shown)
+        first = ids[edge[:-1]]
+        skip, odd = self.blank_first[first].tolist(), np.logical_or.reduceat(self.is_part[ids], edge[:-1])
+        out: list[memoryview | bytes] = [shown[a + s : b] for a, b, s in zip(at[:-1], at[1:], skip, strict=True)]
+        for i in np.flatnonzero(odd | self.is_silent[first]).tolist():
+            own = ids[edge[i] : edge[i + 1]]
+            try:
+                str(out[i], "utf-8")
+                right = not (self.is_silent[first[i]] and len(own) > 1)
+            except UnicodeDecodeError:
+                right = False
+            if not right:
+                out[i] = self.decode(own.tolist()).encode()
+        return out
+
     def decode(self, ids: list[int], odd: bool = True) -> str:
         """Text of ids; the blank that encoding puts first goes. odd: bytes of longer characters may be among them."""
         if odd:
@@ -321,9 +439,10 @@ class PieceCodec:
 _CODECS: dict[str, PieceCodec] = {}
 
 
-def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, decoded: bool | None = None, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every document's whole text.
 
+    decoded says whether the decoded texts come too, by default with ids;
     keep names columns of docs that the result has beside these, doc_id among
     them only once; a column that docs has under a result's name is replaced.
 
@@ -333,13 +452,17 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     some megabytes of text, one text at least. Repeated rows and null ids are
     kept; other columns are ignored, and an empty table gives an empty result.
     """
+    decoded = ids if decoded is None else decoded
     with open(model, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     key = hashlib.sha256(data.value).hexdigest()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["decoded"] * decoded]
     kept = [c for c in keep or [] if c not in names]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"kept{i}") for i, c in enumerate(kept)))
-    kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType(), *([T.ArrayType(T.IntegerType()), T.StringType()] if ids else [])]
+    # The id and text are sent once, kept or not.
+    sent = [id_col, *([text_col] if text_col != id_col else []), *(c for c in kept if c not in (id_col, text_col))]
+    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(sent)))
+    text_at, kept_at = sent.index(text_col), [sent.index(c) for c in kept]
+    kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType(), *[T.ArrayType(T.IntegerType())] * ids, *[T.StringType()] * decoded]
     schema = T.StructType([T.StructField(n, k) for n, k in zip([*names, *kept], [*kinds, *(docs.schema[c].dataType for c in kept)], strict=True)])
 
     def run(batches):
@@ -347,26 +470,15 @@ def piece_codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
             _CODECS[key] = PieceCodec(data.value)
         codec = _CODECS[key]
         for whole in batches:
-            for batch in slices(whole, "text"):
-                texts = [codec.chunks(t or "") for t in batch.column("text").to_pylist()]
-                codec.learn({c for t in texts for c in t})
-                words = codec.words
-                n, digest, back, all_ids, all_text = [], [], [], [], []
-                for cut in texts:
-                    entries = [words[c] for c in cut]
-                    line = b" ".join([e[0] for e in entries] + [b"%d" % codec.end])
-                    own = [*chain.from_iterable([e[1] for e in entries]), codec.end]
-                    text = codec.decode(own, any([e[2] for e in entries]))
-                    n.append(len(own))
-                    digest.append(hashlib.sha256(line).hexdigest())
-                    back.append(hashlib.sha256(text.encode()).hexdigest())
+            for batch in slices(whole, f"c{text_at}"):
+                for low, high, own, edge in codec.encode_texts(batch.column(text_at)):
+                    lines, texts = codec.spelled(own, edge), codec.decode_texts(own, edge)
+                    part = batch.slice(low, high - low)
+                    columns = [part.column(0), pa.array(np.diff(edge)), pa.array([hashlib.sha256(x).hexdigest() for x in lines], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
                     if ids:
-                        all_ids.append(own)
-                        all_text.append(text)
-                columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-                if ids:
-                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], [*names, *kept])
-        codec.words = {}
+                        columns.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(own)))
+                    if decoded:
+                        columns.append(pa.array([str(x, "utf-8") for x in texts], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*columns, *(part.column(i) for i in kept_at)], [*names, *kept])
 
     return rows.mapInArrow(run, schema)
