@@ -66,7 +66,7 @@ def sentencepiece_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     import public_tokenizers
 
-    return piece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True, keep=docs.columns).drop("decoded")
+    return piece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True, decoded=False, keep=docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
