@@ -129,8 +129,12 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records (RAW) of the archives at path: fields, and the block of each record or segment."""
+def read_warc(spark: SparkSession, path: str, decoded: bool = False) -> DataFrame:
+    """Raw records (RAW) of the archives at path: fields, and the block of each record or segment.
+
+    decoded: a record that is no segment has its payload in place of its block,
+    which spares payloads a second Python worker beside the one that parses.
+    """
 
     def run(batches):
         names = [f.split()[0] for f in RAW.split(", ")]
@@ -147,7 +151,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for f, block in parse(content):
                     page, segment, total = (f.get(k) for k in ("page-id", "warc-segment-number", "warc-segment-total-length"))
                     digest = f.get("warc-payload-digest", "").rpartition(":")[2] or None
-                    out.append((f["warc-record-id"], f["warc-type"], page and int(page), f.get("warc-target-uri"), digest, f.get("warc-refers-to"), f.get("warc-segment-origin-id"), segment and int(segment), total and int(total), block))
+                    out.append((f["warc-record-id"], f["warc-type"], page and int(page), f.get("warc-target-uri"), digest, f.get("warc-refers-to"), f.get("warc-segment-origin-id"), segment and int(segment), total and int(total), http_payload(block) if decoded and segment is None else block))
                     if len(out) == 256:
                         yield _batch(out, names)
                         out = []
@@ -164,30 +168,38 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names)
 
 
-def payloads(records: DataFrame) -> DataFrame:
+def payloads(records: DataFrame, decoded: bool = False) -> DataFrame:
     """(record_id, type, page_id, uri, digest, refers_to, payload) of whole records: segments joined, framing decoded.
 
-    Equal records that occur twice give two rows.
-    A record whose segments are missing, or do not add up to the total length
-    that the last one states, raises an error.
+    decoded: what read_warc was called with. Equal records that occur twice
+    give two rows. A record whose segments are missing, or do not add up to the
+    total length that the last one states, raises an error.
     """
-    whole = records.where("segment is null")
-    parts = records.where("segment is not null").withColumn("name", F.coalesce("origin", "record_id"))
-    first = parts.where("origin is null").select(*whole.columns)
-    joined = parts.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("sum"))
-    right = F.expr("size(parts) = element_at(parts, -1).segment and length(data) = sum")
-    joined = joined.withColumn("data", F.expr("aggregate(parts, cast('' as binary), (x, p) -> x || p.block)")).select("name", F.when(right, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("segments of "), F.col("name"), F.lit(" are missing or have another length")))).alias("data"))
-    first = first.join(joined, first.record_id == joined.name).select(*[F.col("data").alias("block") if c == "block" else F.col(c) for c in whole.columns])
+    names = ["record_id", "type", "page_id", "uri", "digest", "refers_to"]
 
     def run(batches):
         for batch in batches:
             for low in range(0, len(batch), 64):
                 part = batch.slice(low, 64)
                 body = [http_payload(b) for b in part.column("block").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(body, pa.binary())], ["record_id", "type", "page_id", "uri", "digest", "refers_to", "payload"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(body, pa.binary())], [*names, "payload"])
 
-    rows = whole.union(first).select("record_id", "type", "page_id", "uri", "digest", "refers_to", "block")
-    return rows.mapInArrow(run, "record_id string, type string, page_id long, uri string, digest string, refers_to string, payload binary")
+    def framed(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(run, "record_id string, type string, page_id long, uri string, digest string, refers_to string, payload binary")
+
+    whole = records.where("segment is null").select(*names, "block")
+    # Heads travel with their segments, so that the archives are parsed once for both.
+    parts = records.where("segment is not null").withColumn("name", F.coalesce("origin", "record_id"))
+    head = F.when(F.col("origin").isNull(), F.struct(*names))
+    joined = parts.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("sum"), F.collect_list(head).alias("heads"))
+    lost = F.raise_error(F.concat(F.lit("segments of "), F.col("name"), F.lit(" are missing or have another length")))
+    right = F.expr("size(parts) = element_at(parts, -1).segment and length(data) = sum")
+    joined = joined.withColumn("data", F.expr("aggregate(parts, cast('' as binary), (x, p) -> x || p.block)"))
+    joined = joined.select(F.when(F.size("heads") > 0, F.col("heads")).otherwise(lost).alias("heads"), F.when(right, F.col("data")).otherwise(lost).alias("block"))
+    first = joined.select(F.explode("heads").alias("head"), "block").select("head.*", "block")
+    if decoded:
+        return whole.withColumnRenamed("block", "payload").union(framed(first))
+    return framed(whole.union(first))
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None, least: int = 100, **columns: str) -> DataFrame:
@@ -199,7 +211,7 @@ def warc_round_trip(pages: DataFrame, path: str | None = None, least: int = 100,
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     write_warc(pages, path, least, **columns)
-    read = payloads(read_warc(spark, path))
+    read = payloads(read_warc(spark, path, decoded=True), decoded=True)
     read = materialise(read.select("record_id", "type", "page_id", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("own"), "digest"), "records")
     full = read.where("type = 'response'")
     kept = full.select("page_id", F.col("n").alias("payload_bytes"), F.col("own").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
