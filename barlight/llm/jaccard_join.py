@@ -347,13 +347,14 @@ def _pairs(frame: pd.DataFrame) -> pd.DataFrame:
         sets.append(np.repeat(np.frombuffer(blob, np.uint64, m, 4), times))
         signed.append(np.frombuffer(blob, np.uint32, int(times.sum()), 4 + 12 * m))
     sets, signed = np.concatenate(sets), np.concatenate(signed)
+    # Most signatures occur once: their sets are never put in order.
     order = np.argsort(signed, kind="stable")
-    sets, signed = sets[order], signed[order]
+    signed = signed[order]
     same = signed[1:] == signed[:-1]
     shared = np.zeros(len(signed), dtype=bool)
     shared[1:] |= same
     shared[:-1] |= same
-    sets, signed = sets[shared], signed[shared]
+    sets, signed = sets[order[shared]], signed[shared]
     order = np.lexsort((sets, signed))
     sets, signed = sets[order], signed[order]
     fresh = np.ones(len(sets), dtype=bool)
