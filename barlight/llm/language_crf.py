@@ -11,11 +11,12 @@ is the one with the most expected words.
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,19 +197,34 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model:
     return model
 
 
-def _sampled(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str) -> pd.DataFrame:
-    """Up to SAMPLE_DOCS labelled documents of each language of SAMPLE_BYTES in all, those with the smallest hash of their id."""
+def _sampled(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
+    """(lang, rank, text) of up to SAMPLE_DOCS labelled documents of each language of SAMPLE_BYTES in all, those with the smallest hash of their id; None without any."""
     known = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return pd.DataFrame({"text": [], "lang": []})
+        return None
     # A threshold on the hash leaves a few times the sample; the window then ranks these alone.
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 3 * SAMPLE_DOCS / n)))])
     spread = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / F.lit(1 << 30)
     few = known.withColumn("h", spread).where(F.col("h") <= F.element_at(share, F.col("lang")))
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
     ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).withColumn("bytes", F.sum(F.octet_length("text")).over(order))
-    return ranked.where(F.col("bytes") <= SAMPLE_BYTES).orderBy("lang", "rank").select("text", "lang").toArrow().to_pandas()
+    return ranked.where(F.col("bytes") <= SAMPLE_BYTES).select("lang", "rank", "text")
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of the whole sample, whatever the order of its rows; nothing of an empty one."""
+    rows = list(batches)
+    if sum(map(len, rows)):
+        sample = pa.Table.from_batches(rows).sort_by([("lang", "ascending"), ("rank", "ascending")])
+        model = fit(sample["text"].to_pylist(), sample["lang"].to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+def learned(sample: DataFrame | None) -> Model:
+    """fit of the sample in one task: the driver's Python has neither the texts nor what learning makes of them, only the model."""
+    found = sample.repartition(1).mapInArrow(_learn, "model binary").collect() if sample is not None else []
+    return pickle.loads(found[0].model) if found else fit([], [])
 
 
 def identify_language(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -226,8 +242,7 @@ def identify_language(docs: DataFrame, held_out: Column | None = None, id_col: s
     """
     crc = F.crc32(F.col(id_col).cast("string"))
     held_out = F.coalesce(crc % 4 == 2, F.lit(False)) if held_out is None else held_out
-    sample = _sampled(docs, ~held_out, id_col, text_col, lang_col)
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample["text"].tolist(), sample["lang"].tolist()))
+    model = docs.sparkSession.sparkContext.broadcast(learned(_sampled(docs, ~held_out, id_col, text_col, lang_col)))
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):

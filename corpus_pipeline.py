@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from barlight.llm.jaccard_join import ngram_jaccard_join
 from barlight.llm.language_crf import identify_language
 from barlight.llm.line_dedup import line_dedup
 from barlight.llm.piece_codec import piece_codec
-from barlight.llm.store import free_name, materialise
+from barlight.llm.store import free_name, materialise, return_memory
 
 #: Mean probability that the likeliest language of each word must have; texts that mix languages reach it too.
 LEAST_SURE = 0.5
@@ -69,12 +70,26 @@ def sentencepiece_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return piece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True, decoded=False, keep=docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", language_id),
-    ("line dedup", dedup_lines),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("SentencePiece encoding and decoding", sentencepiece_codec),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _afresh(stage: Stage) -> Stage:
+    """stage, begun after the driver has given back what the plans before it left unused."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return_memory(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", _afresh(language_id)),
+    ("line dedup", _afresh(dedup_lines)),
+    ("n-gram Jaccard join", _afresh(near_duplicates)),
+    ("benchmark decontamination", _afresh(benchmark_decontamination)),
+    ("SentencePiece encoding and decoding", _afresh(sentencepiece_codec)),
 ]
 
 #: Language ID learns a model, which SQL does not express; the pipeline is tested against a brute-force version.

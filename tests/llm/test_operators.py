@@ -713,6 +713,43 @@ def test_language_on_awkward_tables(spark, odd, docs):
     assert len(got) == len(ROWS) and {r.lang_pred for r in got if r.sure == 0} == {"und"}
 
 
+def test_language_is_learned_outside_the_driver(spark, docs, monkeypatch):
+    """The driver's Python never learns, and the model is that of the ordered sample, whatever the order of its rows."""
+    from barlight.llm import language_crf as L
+
+    sample = L._sampled(docs, F.lit(True), "doc_id", "text", "lang")
+    rows = sample.orderBy("lang", "rank").collect()
+    want = L.fit([r.text for r in rows], [r.lang for r in rows])
+
+    def fit(texts, labels):
+        assert not texts, "learned in the driver"
+        return L.Model([], *[np.zeros(0)] * 5)
+
+    monkeypatch.setattr(L, "fit", fit)
+    for frame in (sample, sample.orderBy(F.desc("text"))):
+        got = L.learned(frame)
+        assert got.labels == want.labels and all(np.array_equal(getattr(got, x), getattr(want, x)) for x in ("ngrams", "words", "lexicon", "start", "move"))
+    assert L.learned(None).labels == L.learned(sample.where("false")).labels == []
+    assert {r.lang_pred for r in identify_language(docs).collect()} <= {*want.labels, "und"} and len(want.labels) > 1
+
+
+def test_pipeline_stages_return_memory(spark, monkeypatch):
+    """Every stage begins with the driver's freed memory given back; where the JVM cannot, the stage runs all the same."""
+    import corpus_pipeline
+    from barlight.llm.store import return_memory
+
+    with open("/proc/self/maps") as maps:
+        glibc = "/libc.so.6" in maps.read()
+    assert return_memory(spark) is glibc
+    order = []
+    monkeypatch.setattr(corpus_pipeline, "return_memory", lambda s: order.append("returned"))
+    for name, stage in corpus_pipeline.STAGES:
+        order.append(name)
+        with pytest.raises(AttributeError):
+            stage(spark, None, FOLDER)
+    assert order == [x for name, _ in corpus_pipeline.STAGES for x in (name, "returned")]
+
+
 @pytest.fixture(scope="module")
 def awkward(spark):
     """Documents with nulls, repeats and empty texts in every column of the table."""
